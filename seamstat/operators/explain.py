@@ -6,6 +6,8 @@ Nothing is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,25 +28,32 @@ worn gift odor contact alterations photo channel
 # End of fixed values.
 
 
-def _value(feature: Feature) -> Column:
-    return F.col(feature.name).cast("double")
+# Ranked entries hold only magnitude, position and value. Names, groups and scales are looked
+# up by position afterwards, for the few entries that are kept.
 
 
-def _entry(feature: Feature, **more: Column) -> Column:
-    """Sortable struct: largest magnitude first, then column order."""
-    return F.struct(
-        (-F.abs(_value(feature))).alias("rank_key"),
-        F.lit(feature.position).alias("position"),
-        F.lit(feature.group).alias("group"),
-        F.lit(feature.name).alias("feature"),
-        _value(feature).alias("value"),
-        *[column.alias(name) for name, column in more.items()],
+def _ranked(features: Sequence[Feature], limit: int | None = None) -> str:
+    """SQL for the given features of a row, largest magnitude first, then column order."""
+    entries = ", ".join(
+        f"named_struct('rank_key', -abs(cast({f.name} as double)), 'position', {f.position}, "
+        f"'value', cast({f.name} as double))"
+        for f in features
     )
+    ordered = f"array_sort(array({entries}))"
+    return ordered if limit is None else f"slice({ordered}, 1, {limit})"
+
 
+def _lookup(values: Sequence[str | float], position: str = "position") -> Column:
+    """The value that belongs to a feature position."""
+    listed = ", ".join(f'"{v}"' if isinstance(v, str) else f"{v}D" for v in values)
+    return F.expr(f"element_at(array({listed}), {position} + 1)")
 
-def _largest(entries: list[Column], limit: int | None = None) -> Column:
-    ordered = F.array_sort(F.array(*entries))
-    return ordered if limit is None else F.slice(ordered, 1, limit)
+
+def _per_group(limit: int | None = None) -> dict[str, str]:
+    return {
+        modality: _ranked([f for f in FEATURES if f.modality == modality], limit)
+        for _, modality, _, _ in FEATURE_GROUPS
+    }
 
 
 def spoken_label(name: str) -> str:
@@ -53,108 +62,105 @@ def spoken_label(name: str) -> str:
     return name.replace("_", " ")
 
 
-def top_signals_array(limit: int = TOP_SIGNALS) -> Column:
-    """The strongest features of the row over all groups, as an array of structs."""
-    return _largest(
-        [
-            _entry(f, label=F.lit(spoken_label(f.name)))
-            for f in FEATURES
-            if f.name != "img_has_image"
-        ],
-        limit,
-    )
+GROUP_OF = [f.group for f in FEATURES]
+NAME_OF = [f.name for f in FEATURES]
+SPOKEN_OF = [spoken_label(f.name) for f in FEATURES]
+
+
+def top_signals_sql(limit: int = TOP_SIGNALS) -> str:
+    """SQL for the strongest features of the row over all groups."""
+    return _ranked([f for f in FEATURES if f.name != "img_has_image"], limit)
 
 
 def top_signals(features: DataFrame, key: str = ID_COLUMN, limit: int = TOP_SIGNALS) -> DataFrame:
-    ranked = features.select(key, F.posexplode(top_signals_array(limit)).alias("pos", "s"))
+    ranked = features.select(key, F.posexplode(F.expr(top_signals_sql(limit))).alias("place", "s"))
+    ranked = ranked.select(key, (F.col("place") + 1).alias("rank"), "s.position", "s.value")
     return ranked.select(
-        key, (F.col("pos") + 1).alias("rank"), "s.group", "s.feature", "s.label", "s.value"
+        key,
+        "rank",
+        _lookup(GROUP_OF).alias("group"),
+        _lookup(NAME_OF).alias("feature"),
+        _lookup(SPOKEN_OF).alias("label"),
+        "value",
     )
 
 
+def _unfold_groups(features: DataFrame, key: str, limit: int | None = None) -> DataFrame:
+    """Rows (key, rank, position, value), ranked within each group."""
+    numbered = [
+        f"transform({ranked}, (s, i) -> named_struct('rank', i + 1, 'position', s.position, "
+        "'value', s.value))"
+        for ranked in _per_group(limit).values()
+    ]
+    return features.select(key, F.expr(f"inline(concat({', '.join(numbered)}))"))
+
+
 def feature_breakdown(features: DataFrame, key: str = ID_COLUMN) -> DataFrame:
     """All features of a row, by group, with their place in the group by magnitude."""
-    groups = [
-        F.transform(
-            _largest([_entry(f) for f in FEATURES if f.group == group]),
-            lambda s, i: F.struct(
-                s["group"].alias("group"),
-                s["feature"].alias("feature"),
-                s["position"].alias("ord"),
-                (i + 1).alias("rank"),
-                s["value"].alias("value"),
-            ),
-        )
-        for group, *_ in FEATURE_GROUPS
-    ]
-    return features.select(key, F.inline(F.concat(*groups)))
+    return _unfold_groups(features, key).select(
+        key,
+        _lookup(GROUP_OF).alias("group"),
+        _lookup(NAME_OF).alias("feature"),
+        F.col("position").alias("ord"),
+        "rank",
+        "value",
+    )
 
 
 def breakdown_map() -> Column:
     """Group -> feature -> value for the row."""
-    pairs = []
-    for group, _, _, members in FEATURE_GROUPS:
-        inner = F.create_map(*[c for n in members for c in (F.lit(n), F.col(n).cast("double"))])
-        pairs += [F.lit(group), inner]
-    return F.create_map(*pairs)
+    groups = [
+        f'"{group}", map(' + ", ".join(f"'{n}', cast({n} as double)" for n in members) + ")"
+        for group, _, _, members in FEATURE_GROUPS
+    ]
+    return F.expr(f"map({', '.join(groups)})")
 
 
 def modality_strength(features: DataFrame, key: str = ID_COLUMN) -> DataFrame:
     """Mean magnitude per feature group."""
     rows = []
     for group, _, label, members in FEATURE_GROUPS:
-        sizes = [F.abs(F.col(n).cast("double")) for n in members]
+        total = " + ".join(f"abs(cast({n} as double))" for n in members)
         rows.append(
-            F.struct(
-                F.lit(group).alias("group"),
-                F.lit(label).alias("label"),
-                (sum(sizes[1:], sizes[0]) / F.lit(float(len(members)))).alias("strength"),
-            )
+            f"named_struct('group', \"{group}\", 'label', \"{label}\", "
+            f"'strength', ({total}) / {len(members)}D)"
         )
-    return features.select(key, F.inline(F.array(*rows)))
+    return features.select(key, F.expr(f"inline(array({', '.join(rows)}))"))
 
 
 def modality_drivers(features: DataFrame, key: str = ID_COLUMN) -> DataFrame:
     """The strongest four features of each group."""
-    tops = [
-        F.transform(
-            _largest(
-                [
-                    _entry(f, label=F.lit(f.name.replace("_", " ")[:LABEL_WIDTH]))
-                    for f in FEATURES
-                    if f.group == group
-                ],
-                DRIVERS_PER_GROUP,
-            ),
-            lambda s, i: F.struct(
-                s["group"].alias("modality"),
-                (i + 1).alias("rank"),
-                s["label"].alias("feature"),
-                s["value"].alias("impact"),
-            ),
-        )
-        for group, *_ in FEATURE_GROUPS
-    ]
-    return features.select(key, F.inline(F.concat(*tops)))
-
-
-def _clip(value: Column) -> Column:
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), value))
+    labels = [f.name.replace("_", " ")[:LABEL_WIDTH] for f in FEATURES]
+    return _unfold_groups(features, key, DRIVERS_PER_GROUP).select(
+        key,
+        _lookup(GROUP_OF).alias("modality"),
+        "rank",
+        _lookup(labels).alias("feature"),
+        F.col("value").alias("impact"),
+    )
 
 
-def display_strength(feature: Feature) -> Column:
-    """The feature's value on a common 0-1 scale; the rule depends on its name only."""
-    value, name = _value(feature), feature.name
+def display_rule(feature: Feature) -> tuple[str, float]:
+    """How a feature is brought to a 0-1 scale: signed, size or soft, and its divisor."""
     for part, scale in DISPLAY_SCALES:
-        if part in name:
-            return _clip(value / F.lit(scale))
+        if part in feature.name:
+            return "signed", scale
     if feature.modality == "survey":
-        unit = any(part in name for part in UNIT_SURVEY_PARTS)
-        return _clip(value if unit else value / F.lit(5.0))
-    size = F.abs(value)
-    if feature.modality == "img":
-        return _clip(size)
-    return _clip(F.when(size <= 1.0, size).otherwise(size / F.lit(10.0)))
+        return "signed", 1.0 if any(part in feature.name for part in UNIT_SURVEY_PARTS) else 5.0
+    return ("size", 1.0) if feature.modality == "img" else ("soft", 10.0)
+
+
+def display_strength() -> Column:
+    """Strength of (position, value); a soft value up to 1 counts as it is."""
+    rules = [display_rule(f) for f in FEATURES]
+    kind, scale = _lookup([k for k, _ in rules]), _lookup([s for _, s in rules])
+    value, size = F.col("value"), F.abs(F.col("value"))
+    scaled = (
+        F.when(kind == "signed", value / scale)
+        .when((kind == "soft") & (size > 1.0), size / scale)
+        .otherwise(size)
+    )
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), scaled))
 
 
 def feature_matrix(features: DataFrame, key: str = ID_COLUMN) -> DataFrame:
@@ -163,35 +169,19 @@ def feature_matrix(features: DataFrame, key: str = ID_COLUMN) -> DataFrame:
     Short labels are unique over all modalities, so a grid row has exactly one filled cell
     and the pivot needs no grouping.
     """
-    modalities = [modality for _, modality, _, _ in FEATURE_GROUPS]
-    tops = []
-    for modality in modalities:
-        top = _largest(
-            [
-                _entry(f, label=F.lit(f.short_label), strength=display_strength(f))
-                for f in FEATURES
-                if f.modality == modality
-            ],
-            MATRIX_PER_MODALITY,
-        )
-        if modality == "img":
-            top = F.when(F.col("img_has_image") > 0, top).otherwise(F.slice(top, 1, 0))
-        tops.append(
-            F.transform(
-                top,
-                lambda s, m=modality: F.struct(
-                    s["label"].alias("feature"),
-                    F.lit(m).alias("modality"),
-                    s["strength"].alias("strength"),
-                ),
-            )
-        )
-    visible = F.filter(F.concat(*tops), lambda s: s["strength"] > FAINT)
-    long = features.select(key, F.inline(visible))
-    return long.select(
+    tops = _per_group(MATRIX_PER_MODALITY)
+    tops["img"] = f"filter({tops['img']}, s -> img_has_image > 0)"
+    long = features.select(key, F.expr(f"inline(concat({', '.join(tops.values())}))"))
+    cells = long.select(
+        key,
+        _lookup([f.short_label for f in FEATURES]).alias("feature"),
+        _lookup([f.modality for f in FEATURES]).alias("modality"),
+        display_strength().alias("strength"),
+    ).where(F.col("strength") > FAINT)
+    return cells.select(
         key,
         "feature",
-        *[F.when(F.col("modality") == m, F.col("strength")).alias(m) for m in modalities],
+        *[F.when(F.col("modality") == m, F.col("strength")).alias(m) for m in tops],
     )
 
 

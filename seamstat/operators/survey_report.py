@@ -38,6 +38,7 @@ UNIT_COLUMNS = {
 # End of fixed values.
 
 
+
 def _labelled(value: Column, labels: dict, other: Column) -> Column:
     shown = other
     for code, label in labels.items():
@@ -45,69 +46,99 @@ def _labelled(value: Column, labels: dict, other: Column) -> Column:
     return shown
 
 
-def _truthy(answer: Column, dtype: T.DataType) -> Column:
-    if isinstance(dtype, T.BooleanType):
-        return answer
+def _truth(answer: Column, dtype: T.DataType) -> Column:
+    """Yes-or-no reading of an answer as 1 or 0."""
     if isinstance(dtype, T.StringType):
-        return answer != ""
-    return answer != F.lit(0)
+        return (answer != "").cast("double")
+    return (answer.cast("double") != 0.0).cast("double")
+
 
+def _by(name: Column, cases: dict[str, Column], other: Column) -> Column:
+    chosen = other
+    for key, shown in cases.items():
+        chosen = F.when(name == key, shown).otherwise(chosen)
+    return chosen
 
-def shown_answer(answer: Column, kind: str, dtype: T.DataType) -> Column:
-    """A raw answer as text; ``—`` where it is missing."""
-    number = answer.cast("double")
+
+def shown_answer(kind: Column, number: Column, text: Column) -> Column:
+    """A raw answer as text, by kind of question; ``—`` where it is missing."""
     whole = number.cast("bigint")
-    if kind == "bool":
-        shown = F.when(_truthy(answer, dtype), "Yes").otherwise("No")
-    elif kind == "likert5":
-        shown = _labelled(whole, LIKERT_LABELS, answer.cast("string"))
-    elif kind == "durability":
-        shown = _labelled(whole, DURABILITY_LABELS, answer.cast("string"))
-    elif kind == "pct":
-        shown = percent(number, 0)
-    elif kind == "hours":
-        shown = F.concat(fixed(number, 1), F.lit(" h"))
-    elif kind == "days":
-        shown = F.concat(whole.cast("string"), F.lit(" days"))
-    elif kind == "count":
-        shown = F.concat(whole.cast("string"), F.lit(" times"))
-    else:
-        shown = answer.cast("string")
-    return F.when(answer.isNull(), F.lit(UNANSWERED)).otherwise(shown)
-
-
-def shown_code(name: str, value: Column) -> Column:
-    """An encoded value as text."""
-    if name in CODE_LABELS:
-        return _labelled(value, CODE_LABELS[name], fixed(value, CODE_DIGITS[name]))
+    shown = _by(
+        kind,
+        {
+            "bool": F.when(number == 1.0, "Yes").otherwise("No"),
+            "likert5": _labelled(whole, LIKERT_LABELS, text),
+            "durability": _labelled(whole, DURABILITY_LABELS, text),
+            "pct": percent(number, 0),
+            "hours": F.concat(fixed(number, 1), F.lit(" h")),
+            "days": F.concat(whole.cast("string"), F.lit(" days")),
+            "count": F.concat(whole.cast("string"), F.lit(" times")),
+        },
+        text,
+    )
+    return F.when(text.isNull(), F.lit(UNANSWERED)).otherwise(shown)
+
+
+def code_style(name: str) -> str:
+    """Which of the styles of ``shown_code`` an encoded column uses."""
+    if name in CODE_LABELS or name in UNIT_COLUMNS:
+        return name
     if name in SHARE_COLUMNS:
-        return F.when(value <= 1, percent(value, 0)).otherwise(fixed(value, 2))
-    if name in YES_NO_COLUMNS:
-        return F.when(value >= 0.5, "Yes").otherwise("No")
-    if name in UNIT_COLUMNS:
-        digits, unit = UNIT_COLUMNS[name]
-        return F.concat(fixed(value, digits), F.lit(unit))
-    return _labelled(value, {float(k): v for k, v in LIKERT_LABELS.items()}, fixed(value, 3))
+        return "share"
+    return "yes_no" if name in YES_NO_COLUMNS else "likert"
+
+
+def shown_code(style: Column, value: Column) -> Column:
+    """An encoded value as text."""
+    likert = {float(code): label for code, label in LIKERT_LABELS.items()}
+    cases = {
+        "share": F.when(value <= 1, percent(value, 0)).otherwise(fixed(value, 2)),
+        "yes_no": F.when(value >= 0.5, "Yes").otherwise("No"),
+    }
+    for name, labels in CODE_LABELS.items():
+        cases[name] = _labelled(value, labels, fixed(value, CODE_DIGITS[name]))
+    for name, (digits, unit) in UNIT_COLUMNS.items():
+        cases[name] = F.concat(fixed(value, digits), F.lit(unit))
+    return _by(style, cases, _labelled(value, likert, fixed(value, 3)))
 
 
 def survey_report(wide: DataFrame, key: str = ID_COLUMN) -> DataFrame:
-    """26 rows per respondent, from raw answers and their encoded columns side by side."""
-    rows = []
+    """26 rows per respondent, from raw answers and their encoded columns side by side.
+
+    Answers are unfolded first and formatted afterwards, so the generated code holds each
+    format once and not once per question.
+    """
+    entries = []
     for section, fields in SURVEY_SECTIONS.items():
         for question_key, question, kind in fields:
-            name = f"survey_{question_key}"
+            name, answer = f"survey_{question_key}", F.col(question_key)
             dtype = wide.schema[question_key].dataType
-            rows.append(
+            number = F.lit(None) if kind == "choice" else answer
+            entries.append(
                 F.struct(
-                    F.lit(len(rows) + 1).alias("ord"),
+                    F.lit(len(entries) + 1).alias("ord"),
                     F.lit(section).alias("section"),
                     F.lit(question).alias("question"),
-                    shown_answer(F.col(question_key), kind, dtype).alias("answer"),
-                    shown_code(name, F.col(name)).alias("signal"),
+                    F.lit(kind).alias("kind"),
+                    (_truth(answer, dtype) if kind == "bool" else number.cast("double")).alias(
+                        "number"
+                    ),
+                    answer.cast("string").alias("text"),
+                    F.lit(code_style(name)).alias("style"),
+                    F.col(name).cast("double").alias("code"),
                     F.lit(name).alias("feature"),
                 )
             )
-    return wide.select(key, F.inline(F.array(*rows)))
+    long = wide.select(key, F.inline(F.array(*entries)))
+    return long.select(
+        key,
+        "ord",
+        "section",
+        "question",
+        shown_answer(F.col("kind"), F.col("number"), F.col("text")).alias("answer"),
+        shown_code(F.col("style"), F.col("code")).alias("signal"),
+        "feature",
+    )
 
 
 def section_counts(report: DataFrame) -> DataFrame:

@@ -41,9 +41,9 @@ def differences(left: pd.DataFrame, right: pd.DataFrame) -> str:
     a, b = canonical(left), canonical(right)
     if a == b:
         return ""
-    only_a = [row for row in a if row not in set(b)][:2] if len(a) < 2_000_000 else []
-    only_b = [row for row in b if row not in set(a)][:2] if len(b) < 2_000_000 else []
-    return f"{len(a)} / {len(b)} rows; {only_a} / {only_b}"
+    in_a, in_b = set(a), set(b)
+    only_a, only_b = sorted(in_a - in_b, key=repr), sorted(in_b - in_a, key=repr)
+    return f"{len(a)} / {len(b)} rows; {len(only_a)}: {only_a[:2]} / {len(only_b)}: {only_b[:2]}"
 
 
 def main(arguments: list[str]) -> int:

@@ -604,7 +604,7 @@ define(
     "feature_breakdown",
     LONG,
     f"""SELECT review_id, grp AS "group", feature, ord::INTEGER AS ord,
-  CAST(row_number() OVER (PARTITION BY review_id, grp {BY_SIZE}) AS INTEGER) AS rank, {rd('value', 'value')} FROM signals""",
+  CAST(row_number() OVER (PARTITION BY review_id, grp {BY_SIZE}) AS INTEGER) AS rank, value FROM signals""",
 )
 define(
     "top_signals",
@@ -639,10 +639,10 @@ define(
     + f""",
 ranked AS (SELECT *, row_number() OVER (PARTITION BY review_id, modality {BY_SIZE}) AS rank,
   least(1.0::DOUBLE, greatest(0.0::DOUBLE, {NORM})) AS norm FROM signals),
-grid AS (SELECT r.* FROM ranked r JOIN frame f USING (review_id) WHERE rank <= 6 AND norm > 0.02::DOUBLE AND (modality <> 'img' OR f.img_has_image > 0))""",
+shown AS (SELECT r.* FROM ranked r JOIN frame f USING (review_id) WHERE rank <= 6 AND norm > 0.02::DOUBLE AND (modality <> 'img' OR f.img_has_image > 0))""",
     "SELECT review_id, short AS feature, "
-    + ", ".join(rd(f"max(norm) FILTER (WHERE modality = '{m}')", m) for m in ("nlp", "vis", "img", "survey"))
-    + " FROM grid GROUP BY review_id, short",
+    + ", ".join(f"max(norm) FILTER (WHERE modality = '{m}') AS {m}" for m in ("nlp", "vis", "img", "survey"))
+    + " FROM shown GROUP BY review_id, short",
 )
 
 # -- business rules -----------------------------------------------------------------------
