@@ -50,15 +50,14 @@ def image_stats_from_pixels(pixels: DataFrame, key: str = "image_id") -> DataFra
             F.avg("b").alias("img_dominant_blue"),
             (F.max("x") + 1).alias("width"),
             (F.max("y") + 1).alias("height"),
-            *[F.count_if(F.col("bin") == i).alias(f"bin_{i}") for i in range(HISTOGRAM_BINS)],
+            *[F.expr(f"count_if(bin = {i}) AS bin_{i}") for i in range(HISTOGRAM_BINS)],
         )
     )
-    terms = [_entropy_term(F.col(f"bin_{i}"), F.col("n")) for i in range(HISTOGRAM_BINS)]
     derived = {
         "img_aspect_ratio": F.col("width") / F.greatest(F.col("height"), F.lit(1)),
         "img_warm_tone_ratio": F.col("img_dominant_red")
         / (F.col("img_dominant_blue") + F.lit(TONE_FLOOR)),
-        "img_color_entropy": -sum(terms[1:], terms[0]),
+        "img_color_entropy": F.expr(f"-({' + '.join(map(_entropy_term, range(HISTOGRAM_BINS)))})"),
         "img_has_image": F.lit(1.0),
     }
     return totals.select(
@@ -71,9 +70,9 @@ def _step(window: WindowSpec) -> Column:
     return F.coalesce(F.abs(gray - F.lag(gray).over(window)), F.lit(0.0))
 
 
-def _entropy_term(count: Column, total: Column) -> Column:
-    density = count * F.lit(float(HISTOGRAM_BINS)) / total + F.lit(DENSITY_FLOOR)
-    return density * F.log2(density)
+def _entropy_term(slot: int) -> str:
+    density = f"(bin_{slot} * {HISTOGRAM_BINS}D / n + {DENSITY_FLOOR}D)"
+    return f"{density} * log2({density})"
 
 
 def _stats_of(rgb: np.ndarray) -> list[float]:

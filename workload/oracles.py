@@ -14,6 +14,7 @@ from workload import derived as dv
 
 SQL: dict[str, str] = {}
 PLACES = 6
+IMAGE_PLACES = 9
 
 # Character classes in the regular-expression dialect of the checking engine.
 BLANK = (
@@ -49,9 +50,9 @@ def cols(names) -> str:
     return ", ".join(col(n) for n in names)
 
 
-def rd(expression: str, alias: str | None = None) -> str:
+def rd(expression: str, alias: str | None = None, places: int = PLACES) -> str:
     """Round half up on the decimal spelling, as the compared side does."""
-    text = f"CAST(round(CAST({expression} AS DECIMAL(38, 16)), {PLACES}) AS DOUBLE)"
+    text = f"CAST(round(CAST({expression} AS DECIMAL(38, 16)), {places}) AS DOUBLE)"
     return f'{text} AS "{alias}"' if alias else text
 
 
@@ -270,7 +271,7 @@ augmented AS (SELECT *, {strip(f"{BASE_TEXT} || ' ' || {TAGS}")} AS text FROM su
 
 FRAME = AUGMENTED + "," + text_ctes("cleaned", "review_id", '"Title"', '"Review Text"', ALL_TEXT) + ",\n" + IMAGES + """,
 frame AS MATERIALIZED (SELECT a.*, t.* EXCLUDE (review_id), """ + ", ".join(
-    rd(f"coalesce(i.{n}, 0.0)", n) for n in sm.IMAGE_FEATURES
+    rd(f"coalesce(i.{n}, 0.0)", n, IMAGE_PLACES) for n in sm.IMAGE_FEATURES
 ) + """ FROM augmented a JOIN texts t USING (review_id) LEFT JOIN images i ON i.image_id = a.review_id)"""
 
 DIMENSION = "dimension(feature, ord, grp, modality, short, words, spoken) AS (VALUES " + ", ".join(
@@ -309,7 +310,7 @@ define(
     "enrich_join",
     SURVEY_JOINED + ",\n" + IMAGES,
     "SELECT review_id, "
-    + ", ".join([rd(n, n) for n in sm.SURVEY_FEATURES] + [rd(f"coalesce(i.{n}, 0.0)", n) for n in sm.IMAGE_FEATURES])
+    + ", ".join([*sm.SURVEY_FEATURES, *[rd(f"coalesce(i.{n}, 0.0)", n, IMAGE_PLACES) for n in sm.IMAGE_FEATURES]])
     + " FROM surveyed LEFT JOIN images i ON i.image_id = review_id",
 )
 define(
@@ -333,7 +334,7 @@ define(
     text_ctes("documents", "doc_id", "NULL", "text", sm.NLP_FEATURES),
     "SELECT * FROM texts",
 )
-define("image_stats", IMAGES, "SELECT image_id, " + ", ".join(rd(n, n) for n in sm.IMAGE_FEATURES) + " FROM images")
+define("image_stats", IMAGES, "SELECT image_id, " + ", ".join(rd(n, n, IMAGE_PLACES) for n in sm.IMAGE_FEATURES) + " FROM images")
 IMAGE_TEN = [n for n in sm.IMAGE_FEATURES if n != "img_has_image"]
 define(
     "image_profile",
