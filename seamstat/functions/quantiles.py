@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SKETCH_ACCURACY = 20_000
@@ -15,7 +15,7 @@ def exact_quantiles(
 
     A mergeable sketch brackets every quantile first. Everything below the bracket is then
     reduced to one count, everything above is dropped, and only the distinct values inside
-    (about 10 / SKETCH_ACCURACY of the rows at most) are ranked exactly. Repeated values are
+    (about 12 / SKETCH_ACCURACY of the rows, or all of a small group) are ranked exactly. Repeated values are
     counted before they are shuffled. Should a bracket ever miss, the query fails instead of
     returning a wrong value.
     """
@@ -27,6 +27,14 @@ def exact_quantiles(
         F.count(F.lit(1)).alias("__total"),
         F.percentile_approx("__v", ends, F.lit(SKETCH_ACCURACY)).alias("__ends"),
     )
+    # A bracket must reach the neighbouring values as well, so small groups go in whole.
+    small = F.col("__total") < 10.0 / margin
+
+    def end(position: int, open_ended: bool, infinite: float) -> Column:
+        if open_ended:
+            return F.lit(infinite)
+        return F.when(small, F.lit(infinite)).otherwise(F.col("__ends")[position])
+
     brackets = sketches.select(
         *by,
         "__total",
@@ -35,8 +43,8 @@ def exact_quantiles(
                 *[
                     F.struct(
                         F.lit(float(p)).alias("q"),
-                        (F.lit(float("-inf")) if low == 0.0 else F.col("__ends")[2 * i]).alias("__low"),
-                        (F.lit(float("inf")) if high == 1.0 else F.col("__ends")[2 * i + 1]).alias("__high"),
+                        end(2 * i, low == 0.0, float("-inf")).alias("__low"),
+                        end(2 * i + 1, high == 1.0, float("inf")).alias("__high"),
                     )
                     for i, (p, low, high) in enumerate(asked)
                 ]
