@@ -14,6 +14,8 @@ LOOSE_NUMBER = (
 )
 # End of fixed values.
 
+NEAR_TIE = 1e-6
+
 
 def _parsed(text: Column, accepted: str) -> Column:
     # Spark alone would also take Java suffixes such as "5d", hence the pattern first.
@@ -40,24 +42,28 @@ def at_least(value: Column, bound: float) -> Column:
 def fixed(value: Column, digits: int) -> Column:
     """Text with ``digits`` decimals, rounded on the exact binary value, ties to even.
 
-    Java formats the shortest decimal spelling half-up instead. Here the product with
-    10**digits is split into a rounded part and its exact error (two-product), so a value
-    just below or above a tie is told apart from a true tie.
+    A decimal cast rounds the shortest decimal spelling half-up, which is right except
+    close to a tie. There the product with 10**digits is split into a rounded part and its
+    exact error (two-product), so that a value just below or above a tie is told apart from
+    a true tie.
     """
-    scale = float(10**digits)
+    scale = F.lit(float(10**digits))
     size = F.abs(value)
+    product = size * scale
+    whole = F.floor(product).cast("double")
+    beyond_half = product - whole - 0.5
     shifted = size * F.lit(134217729.0)  # 2**27 + 1 splits a double into two halves
     high = shifted - (shifted - size)
-    product = size * F.lit(scale)
-    error = (high * F.lit(scale) - product) + (size - high) * F.lit(scale)
-    whole = F.floor(product).cast("double")
-    part = product - whole
-    up = (part > 0.5) | (
-        (part == 0.5) & ((error > 0) | ((error == 0) & (F.pmod(whole, F.lit(2.0)) == 1.0)))
+    error = (high * scale - product) + (size - high) * scale
+    odd = F.pmod(whole, F.lit(2.0)) == 1.0
+    up = F.when(beyond_half != 0, beyond_half > 0).when(error != 0, error > 0).otherwise(odd)
+    near_tie = (whole + up.cast("double")) / scale
+    rounded = F.when(F.abs(beyond_half) > NEAR_TIE, size).otherwise(near_tie)
+    text = F.coalesce(
+        rounded.try_cast(f"decimal(30, {digits})").cast("string"),
+        F.format_string(f"%.{digits}f", size),  # thirty digits and more
     )
-    rounded = (whole + F.when(up, 1.0).otherwise(0.0)) / F.lit(scale)
-    sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
-    return F.concat(sign, F.format_string(f"%.{digits}f", rounded))
+    return F.concat(F.when(value < 0, "-").otherwise(""), text)
 
 
 def percent(value: Column, digits: int) -> Column:

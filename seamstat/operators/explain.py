@@ -39,7 +39,7 @@ def _ranked(features: Sequence[Feature], limit: int | None = None) -> str:
         f"'value', cast({f.name} as double))"
         for f in features
     )
-    ordered = f"array_sort(array({entries}))"
+    ordered = f"sort_array(array({entries}))"
     return ordered if limit is None else f"slice({ordered}, 1, {limit})"
 
 

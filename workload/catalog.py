@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seamstat.operators import cleaning as cl
+from seamstat.functions.partitioning import spread
 from seamstat.operators import enrich as en
 from seamstat.operators import explain as ex
 from seamstat.operators import image_stats as im
@@ -108,7 +108,8 @@ def nlp_features(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def nlp_documents(spark: SparkSession, sf: str) -> DataFrame:
-    documents = dv.table(spark, sf, "documents").withColumn("title", F.lit(None).cast("string"))
+    documents = spread(dv.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    documents = documents.withColumn("title", F.lit(None).cast("string"))
     return tf.nlp_features(documents, "title", "text").select("doc_id", *NLP_FEATURES)
 
 

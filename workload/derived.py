@@ -148,7 +148,7 @@ def survey_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = [
         F.when((n + k) % 7 != 0, value(key, k)).alias(key) for k, key in enumerate(ANSWER_ORDER)
     ]
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey")
     return orders.where(~F.col("o_orderpriority").isin(UNSURVEYED)).select(
         n.alias("review_id"), *columns
     )
