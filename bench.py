@@ -20,7 +20,7 @@ linear_score batch_signals rating_sensitivity feature_breakdown top_signals feat
 review_insights catalog_rollup age_rating_heatmap dept_rating_box market_sample
 stratified_split tfidf_weights eval_metrics image_stats journey_by_department
 """.split()
-RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+RUNS = int(os.environ.get("BENCH_RUNS", "1"))
 
 
 def main() -> None:
