@@ -23,7 +23,9 @@ NOT_DIGIT = (
     r"\x{10A40}-\x{10A43}\x{10E60}-\x{10E68}\x{11052}-\x{1105A}\x{1F100}-\x{1F10A}]+"
 )
 NOT_EMOJI = r"[^\x{2601}-\x{27BE}]+"
-EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]++|(?<![\s\x1c-\x1f])[\s\x1c-\x1f]++\z"
+BLANK = r"(?U)[\s\x1c-\x1f]"
+LEADING_BLANKS = r"(?U)^[\s\x1c-\x1f]++"
+TRAILING_BLANKS = r"(?U)(?<![\s\x1c-\x1f])[\s\x1c-\x1f]++\z"
 # End of fixed values.
 
 
@@ -82,6 +84,14 @@ def phrases_present(lowered: Column, phrases: Iterable[str]) -> Column:
     return sum(hits[1:], hits[0])
 
 
-def strip(text: Column) -> Column:
-    """Trim every Unicode blank, not only the plain space."""
-    return F.regexp_replace(text, EDGE_SPACE, "")
+def left_stripped(text: Column) -> Column:
+    """Without leading Unicode blanks; the text is searched only if it starts with one."""
+    return F.when(
+        F.left(text, F.lit(1)).rlike(BLANK), F.regexp_replace(text, LEADING_BLANKS, "")
+    ).otherwise(text)
+
+
+def right_stripped(text: Column) -> Column:
+    return F.when(
+        F.right(text, F.lit(1)).rlike(BLANK), F.regexp_replace(text, TRAILING_BLANKS, "")
+    ).otherwise(text)

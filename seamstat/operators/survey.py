@@ -49,11 +49,11 @@ def survey_defaults(df: DataFrame) -> DataFrame:
     return df.withColumns({name: F.lit(value) for name, value in SURVEY_DEFAULTS.items()})
 
 
-def augmented_text(title: Column, review: Column) -> Column:
-    """Stripped title and review, followed by tags for the survey columns of the row."""
+def survey_tags() -> Column:
+    """Space-separated tags for the survey columns of the row, maybe none."""
     size = F.col("survey_size_vs_usual")
     # Tag names and thresholds.
-    tags = F.concat_ws(
+    return F.concat_ws(
         " ",
         F.when(F.col("survey_return_likelihood") >= 0.7, "high_return_intent"),
         F.when(F.col("survey_repurchase_likelihood") >= 0.7, "high_repurchase_intent"),
@@ -63,14 +63,24 @@ def augmented_text(title: Column, review: Column) -> Column:
         F.when(F.col("survey_photo_uploaded") >= 1, "product_photo_provided"),
     )
     # End of fixed values.
-    base = tx.strip(tx.combined(title, review))
-    return tx.strip(F.concat(base, F.lit(" "), tags))
 
 
 def with_augmented_text(
     df: DataFrame, title: str = "Title", review: str = "Review Text"
 ) -> DataFrame:
-    return df.withColumn("text", augmented_text(F.col(title), F.col(review)))
+    """Append ``text``: stripped title and review, then the survey tags."""
+    empty = F.lit("")
+    return (
+        df.withColumn("__joined", tx.combined(F.col(title), F.col(review)))
+        .withColumn("__left", tx.left_stripped(F.col("__joined")))
+        .withColumn("__base", tx.right_stripped(F.col("__left")))
+        .withColumn("__tags", survey_tags())
+        .withColumn(
+            "text",
+            F.concat_ws(" ", F.nullif("__base", empty), F.nullif("__tags", empty)),
+        )
+        .drop("__joined", "__left", "__base", "__tags")
+    )
 
 
 def _long(df: DataFrame, keep: list[str], entries: list[Column]) -> DataFrame:
