@@ -1,5 +1,8 @@
 """Every registered query against its SQL at the smallest scale, and the driver contract."""
 
+import subprocess
+import sys
+
 import pytest
 
 import __spark_entry__ as driver
@@ -26,7 +29,28 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_driver_contract(spark):
-    assert set(driver.oracle_sql()) == set(driver.queries()) - UNCHECKED
+    assert set(oracles.all_sql()) == set(catalog.QUERIES) - UNCHECKED
+    assert set(catalog.QUERIES) <= set(driver.queries())
+    assert set(oracles.all_sql()) <= set(driver.oracle_sql()) <= set(driver.queries())
     assert driver.entry(spark).columns == [
         "review_id", "recommended_label", "business_emoji", "local_ai_insight",
     ]
+
+
+def test_entry_imports_without_spark_jars():
+    """Neither the registry nor its SQL may look into the Spark installation."""
+    code = (
+        "import pyspark; pyspark.__path__ = ['/nonexistent', *pyspark.__path__];"
+        "import __spark_entry__ as e; print(len(e.oracle_sql()), len(e.queries()))"
+    )
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    sql, queries = map(int, done.stdout.split()[-2:])
+    assert 53 <= sql <= queries
+
+
+def test_stop_words_are_those_of_spark(spark):
+    from pyspark.ml.feature import StopWordsRemover
+
+    from seamstat.operators.learning import default_stop_words
+
+    assert default_stop_words() == StopWordsRemover.loadDefaultStopWords("english")

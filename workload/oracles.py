@@ -2,12 +2,6 @@
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
-
-import pyspark
-
 from seamstat import schema as sm
 from seamstat.functions import lexicons as lex
 from workload import derived as dv
@@ -525,18 +519,10 @@ known AS (SELECT field, value, CAST(row_number() OVER (ORDER BY place, value) -
 )
 
 
-def stop_words() -> list[str]:
-    """The English list that ships with Spark ML, read without starting a session."""
-    jar = glob.glob(os.path.join(pyspark.__path__[0], "jars", "spark-mllib_*.jar"))[0]
-    with zipfile.ZipFile(jar) as archive:
-        listed = archive.read("org/apache/spark/ml/feature/stopwords/english.txt").decode()
-    return [word for word in listed.split("\n") if word]
-
-
 define(
     "tfidf_weights",
     AUGMENTED + f""",
-kept AS (SELECT review_id, list_filter(regexp_extract_all({lower('text')}, '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: w NOT IN ({lits(stop_words())})) AS k FROM augmented),
+kept AS (SELECT review_id, list_filter(regexp_extract_all({lower('text')}, '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: w NOT IN ({lits(lex.ENGLISH_STOP_WORDS)})) AS k FROM augmented),
 terms AS (SELECT review_id, unnest(k || list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1])) AS term FROM kept),
 tf AS MATERIALIZED (SELECT review_id, term, count(*) AS tf FROM terms GROUP BY ALL),
 vocabulary AS (SELECT term, count(*) AS documents FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY sum(tf) DESC, term LIMIT 25000),
