@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seamstat.llm import mixing, url_rules
+from seamstat.llm import language_id, mixing, secret_scan, url_rules
 from seamstat.llm.sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -43,3 +44,17 @@ RULES = """
 def op4_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     rules = spark.sql(f"SELECT * FROM VALUES {RULES} AS rules(host, path, verdict)")
     return url_rules.judge(table(spark, sf, "pages"), rules)
+
+
+@query
+def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    found = language_id.predict(docs, language_id.fit(docs))
+    held_out = language_id.held_out(F.col("doc_id"))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op6_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return secret_scan.scan(docs, secret_scan.fit(docs))
