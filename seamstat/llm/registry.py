@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamstat.llm import language_id, mixing, secret_scan, url_rules
+from seamstat.llm import language_id, mixing, near_dup, secret_scan, url_rules
 from seamstat.llm.sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -58,3 +58,8 @@ def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
 def op6_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return secret_scan.scan(docs, secret_scan.fit(docs))
+
+
+@query
+def op2_minhash_near_dup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dup.groups(table(spark, sf, "documents"))
