@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamstat.llm import language_id, mixing, near_dup, secret_scan, url_rules
+from seamstat.llm import html_text, language_id, mixing, near_dup, secret_scan, sentencepiece_backend, url_rules
 from seamstat.llm.sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -63,3 +63,14 @@ def op6_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op2_minhash_near_dup(spark: SparkSession, sf: str) -> DataFrame:
     return near_dup.groups(table(spark, sf, "documents"))
+
+
+@query
+def op7_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return sentencepiece_backend.encode(docs, sentencepiece_backend.PieceCodec.load())
+
+
+@query
+def op10_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.extract(table(spark, sf, "pages"))
