@@ -188,6 +188,6 @@ def mix(
     plan = draw_plan(sized, weight, max_epochs, share)
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__mix_row")
     placed = docs.select(own, F.col("source"), F.col("doc_id"), F.col("text"))
-    copies = with_copies(with_size(placed, seed=seed), plan)
+    copies = with_copies(with_size(placed, seed=seed).drop("text"), plan)
     repeated = copies.select("__mix_row", F.explode(F.array_repeat(F.lit(1), F.col("__mix_copies").cast("int"))))
     return repeated.select("__mix_row.*")

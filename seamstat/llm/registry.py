@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamstat.llm import html_text, language_id, mixing, near_dup, secret_scan, sentencepiece_backend, url_rules
+import corpus_pipeline
+from seamstat.llm import (
+    html_text,
+    language_id,
+    lattice_dup,
+    mixing,
+    near_dup,
+    nearest,
+    repeated_spans,
+    secret_scan,
+    sentencepiece_backend,
+    url_rules,
+)
 from seamstat.llm.sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -74,3 +86,22 @@ def op7_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_html_text(spark: SparkSession, sf: str) -> DataFrame:
     return html_text.extract(table(spark, sf, "pages"))
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return repeated_spans.remove(docs)
+
+
+@query
+def op8_embedding_near_dup(spark: SparkSession, sf: str) -> DataFrame:
+    return lattice_dup.groups(table(spark, sf, "embeddings"))
+
+
+@query
+def op9_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
