@@ -33,7 +33,7 @@ WINDOW = 3
 SURGE = 86
 LINK_SHARE = 0.5  # a line outside of an article with more of its text in links is a menu
 
-TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|$)""", re.DOTALL)
+TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|$)|</?[A-Za-z][^>]*(?:>|$)""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|itemprop|aria-hidden|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=\s|/|$)""", re.IGNORECASE)
 NAME_WORDS = re.compile(r"[a-z]+|\d+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -173,6 +173,8 @@ def strip_markup(page: str) -> list[Line]:
         walk.text(page[at : match.start()])
         at = match.end()
         if match[2] is None:
+            if not match[0].startswith(("<!", "<?")):  # a tag with an unclosed quote
+                walk.end_line()
             continue
         name = match[2].lower()
         if match[1]:

@@ -6,7 +6,8 @@ those of the sentencepiece library, which every text is compared with.
 
 Where no piece has a marker after another character, no piece can cross the beginning of a word.
 Words are then encoded alone, in multithreaded batches of those not seen lately. A model with such
-pieces is encoded by whole texts.
+pieces is encoded by whole texts. Words with pieces of equal rank, such as runs of spaces, are joined
+here, leftmost first.
 
 Defined results
     A null or empty text has no ids; its parity and round trip hold. Strings of control pieces in
@@ -20,7 +21,9 @@ Scale
 
 from __future__ import annotations
 
+import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,6 +55,51 @@ def ranked_merges(model: pm.PieceModel) -> list[tuple[str, str]]:
     return [(model.pieces[left], model.pieces[right]) for _, left, right in sorted(joins)]
 
 
+def tied_pieces(model: pm.PieceModel) -> list[str]:
+    """The shortest of the pieces whose score is not theirs alone.
+
+    The model joins the leftmost of equal scores first, which no ranking of merges can say.
+    """
+    if model.model_type != pm.BPE:
+        return []
+    normal = [(s, p) for p, s, kind in zip(model.pieces, model.scores, model.types, strict=True) if kind == pm.NORMAL and len(p) > 1]
+    held = Counter(score for score, _ in normal)
+    tied: list[str] = []
+    for _, piece in sorted((len(p), p) for score, p in normal if held[score] > 1):
+        if not any(other in piece for other in tied):
+            tied.append(piece)
+    return tied
+
+
+def joined_by_score(word: str, scores: dict[str, float]) -> list[str]:
+    """The pieces of a word when the best pair is joined first, the leftmost of equals."""
+    parts: list[str | None] = list(word)
+    after = list(range(1, len(parts) + 1))
+    before = list(range(-1, len(parts) - 1))
+    open_: list[tuple[float, int, str]] = []
+
+    def offer(left: int) -> None:
+        if left >= 0 and after[left] < len(parts):
+            both = parts[left] + parts[after[left]]
+            if both in scores:
+                heapq.heappush(open_, (-scores[both], left, both))
+
+    for i in range(len(parts) - 1):
+        offer(i)
+    while open_:
+        _, left, both = heapq.heappop(open_)
+        right = after[left]
+        if parts[left] is None or right >= len(parts) or parts[left] + parts[right] != both:
+            continue
+        parts[left], parts[right] = both, None
+        after[left] = after[right]
+        if after[right] < len(parts):
+            before[after[right]] = left
+        offer(before[left])
+        offer(left)
+    return [p for p in parts if p is not None]
+
+
 def backend(model: pm.PieceModel) -> Tokenizer:
     """The model as a tokenizer of normalised text."""
     unknown = model.types.index(pm.UNKNOWN)
@@ -105,6 +153,9 @@ class PieceCodec:
             self.by_word = not self.model.whitespace_as_suffix and self.model.escape_spaces and not any(
                 MARKER in piece.lstrip(MARKER) for piece in self.model.pieces
             )
+            self.tied = tied_pieces(self.model)
+            kinds = zip(self.model.pieces, self.model.scores, self.model.types, strict=True)
+            self.scores = {piece: score for piece, score, kind in kinds if kind == pm.NORMAL}
             self.judge = sentencepiece.SentencePieceProcessor(model_proto=self.proto)
 
     def normalised(self, text: str) -> str:
@@ -127,10 +178,19 @@ class PieceCodec:
             fresh = {w for words in texts for w in words}
         listed = list(fresh)
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(listed, add_special_tokens=False)]
+        for i, word in enumerate(listed):
+            if any(piece in word for piece in self.tied):
+                encoded[i] = [n for part in joined_by_score(word, self.scores) for n in self._ids_of(part)]
         decoded = self.tokenizer.decode_batch(encoded, skip_special_tokens=False)
         for word, ids, back in zip(listed, encoded, decoded, strict=True):
             self.known[word] = np.array(ids, np.int32).tobytes(), back == word.replace(MARKER, " ")
 
+    def _ids_of(self, part: str) -> list[int]:
+        """The id of a piece, or what stands for a character that is none."""
+        if part in self.scores:
+            return [self.tokenizer.token_to_id(part)]
+        return self.tokenizer.encode(part, add_special_tokens=False).ids
+
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
         """Ids of each text, and whether they decode to its normalised form."""
         self._open()
