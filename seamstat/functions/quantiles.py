@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seamstat.sources.scratch import stored
+
 SKETCH_ACCURACY = 20_000
 
 
@@ -14,10 +16,10 @@ def exact_quantiles(
     """Linearly interpolated quantiles per group: columns ``by``, ``q`` and ``value``.
 
     A mergeable sketch brackets every quantile first. Everything below the bracket is then
-    reduced to one count, everything above is dropped, and only the distinct values inside
-    (about 12 / SKETCH_ACCURACY of the rows, or all of a small group) are ranked exactly. Repeated values are
-    counted before they are shuffled. Should a bracket ever miss, the query fails instead of
-    returning a wrong value.
+    reduced to one count and its greatest value, everything above to one count and its least,
+    and only the distinct values inside (about 12 / SKETCH_ACCURACY of the rows) are ranked.
+    Repeated values are counted before they are shuffled. Should a bracket miss by more than
+    the neighbouring value, the query fails instead of returning a wrong value.
     """
     margin = 5.0 / SKETCH_ACCURACY
     asked = [(p, max(p - margin, 0.0), min(p + margin, 1.0)) for p in probabilities]
@@ -27,50 +29,59 @@ def exact_quantiles(
         F.count(F.lit(1)).alias("__total"),
         F.percentile_approx("__v", ends, F.lit(SKETCH_ACCURACY)).alias("__ends"),
     )
-    # A bracket must reach the neighbouring values as well, so small groups go in whole.
-    small = F.col("__total") < 10.0 / margin
-
-    def end(position: int, open_ended: bool, infinite: float) -> Column:
-        if open_ended:
-            return F.lit(infinite)
-        return F.when(small, F.lit(infinite)).otherwise(F.col("__ends")[position])
-
-    brackets = sketches.select(
-        *by,
-        "__total",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(float(p)).alias("q"),
-                        end(2 * i, low == 0.0, float("-inf")).alias("__low"),
-                        end(2 * i + 1, high == 1.0, float("inf")).alias("__high"),
-                    )
-                    for i, (p, low, high) in enumerate(asked)
-                ]
-            )
+    # Written, so that its size decides whether it is broadcast.
+    brackets = stored(
+        sketches.select(
+            *by,
+            "__total",
+            F.inline(
+                F.array(
+                    *[
+                        F.struct(
+                            F.lit(float(p)).alias("q"),
+                            F.col("__ends")[2 * i].alias("__low"),
+                            F.col("__ends")[2 * i + 1].alias("__high"),
+                        )
+                        for i, p in enumerate(probabilities)
+                    ]
+                )
+            ),
         ),
+        "brackets",
     )
     counts = rows.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n"))
-    inside = F.when(F.col("__v") >= F.col("__low"), F.col("__v"))  # null: below the bracket
+    below, above = F.col("__v") < F.col("__low"), F.col("__v") > F.col("__high")
+    side = F.when(below, -1).when(above, 1).otherwise(0)
+    entry = F.struct("__v", "__n")
+    # One row for each value inside, and one for each side with its value next to the bracket.
     ranked = (
         counts.join(brackets, by)
-        .where(F.col("__v") <= F.col("__high"))
-        .groupBy(*by, "q", "__total", inside.alias("__v"))
-        .agg(F.sum("__n").alias("__n"))
+        .groupBy(*by, "q", "__total", side.alias("__side"), F.when(side == 0, F.col("__v")).alias("__inside"))
+        .agg(F.sum("__n").alias("__n"), F.max(entry).alias("__most"), F.min(entry).alias("__least"))
+        .withColumn("__next", F.when(F.col("__side") == 1, F.col("__least")).otherwise(F.col("__most")))
         .withColumn(
             "__upto",
             F.sum("__n").over(
                 Window.partitionBy(*by, "q")
-                .orderBy(F.asc_nulls_first("__v"))
+                .orderBy("__side", "__inside")
                 .rowsBetween(Window.unboundedPreceding, Window.currentRow)
             ),
         )
     )
     place = (F.col("__total") - 1) * F.col("q")
     lower = F.floor(place)
-    # The k-th value (from 0) is the first one with more than k values up to and including it.
-    at = lambda k: F.min(F.when(F.col("__upto") > k, F.struct("__upto", "__v")))["__v"]
+
+    def at(k: Column) -> Column:
+        """The k-th value (from 0): the first with more than k values up to and including it."""
+        before = F.col("__upto") - F.col("__n")
+        near = (
+            F.when(F.col("__side") == -1, k >= F.col("__upto") - F.col("__next.__n"))
+            .when(F.col("__side") == 1, k < before + F.col("__next.__n"))
+            .otherwise(F.lit(True))
+        )
+        holds = (before <= k) & (k < F.col("__upto")) & near
+        return F.max(F.when(holds, F.col("__next.__v")))
+
     picked = ranked.groupBy(*by, "q").agg(
         at(lower).alias("__a"),
         at(F.ceil(place)).alias("__b"),

@@ -23,12 +23,13 @@ TONE_FLOOR = 1e-6
 def image_stats_from_pixels(pixels: DataFrame, key: str = "image_id") -> DataFrame:
     """One row of statistics per image from rows ``(key, y, x, r, g, b)`` with 0-255 channels.
 
-    Neighbour differences are taken along single pixel rows and columns, so a very large
-    image is spread over as many window groups as it has rows or columns.
+    The pixels are dealt by image once, which serves both directions of neighbour differences
+    and the totals. All pixels of one image so meet in one task, where rows and columns are
+    sorted with spilling; a picture should have fewer than about a billion pixels.
     """
     r, g, b = (F.col(c) / F.lit(255.0) for c in "rgb")
     gray = F.lit(RED_WEIGHT) * r + F.lit(GREEN_WEIGHT) * g + F.lit(BLUE_WEIGHT) * b
-    shaded = pixels.select(
+    shaded = pixels.repartition(key).select(
         key, "y", "x", r.alias("r"), g.alias("g"), b.alias("b"), gray.alias("gray")
     )
     along_row = Window.partitionBy(key, "y").orderBy("x")

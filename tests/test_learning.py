@@ -7,9 +7,10 @@ from seamstat.operators import learning as ln
 from seamstat.operators.enrich import model_frame
 from seamstat.operators.survey import encode_survey
 from seamstat.plans.scoring import batch_score, rating_sensitivity
-from seamstat.plans.training import checkpointed, train
+from seamstat.plans.training import train
 from seamstat.schema import CATEGORICAL_COLUMNS, NUMERIC_COLUMNS, TARGET_COLUMN
 from seamstat.sources.models import load_model, save_model
+from seamstat.sources.scratch import shared_folder, stored
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +26,7 @@ def labelled(spark, presets):
             TARGET_COLUMN: ((n * 7 % 5 + n % 3) >= 3).cast("int"),
         }
     )
-    return checkpointed(model_frame(frame.withColumn("review_id", n).drop("copy")))
+    return stored(model_frame(frame.withColumn("review_id", n).drop("copy")), "labelled")
 
 
 @pytest.fixture(scope="module")
@@ -43,23 +44,55 @@ def test_quantiles_are_exact(spark):
         assert row["v"] == pytest.approx(np.quantile(groups[row["g"]], row["q"]), abs=1e-12)
 
 
-def test_quotas_follow_class_shares():
-    assert ln.test_quotas({0: 30, 1: 70}, 0.2) == {0: 6, 1: 14}
-    assert sum(ln.test_quotas({0: 7, 1: 11, 2: 13}, 0.2).values()) == 7
-    with pytest.raises(ValueError):
-        ln.test_quotas({0: 1, 1: 50}, 0.2)
+def quotas(frame):
+    return {r[TARGET_COLUMN]: r["quota"] for r in ln.hold_out_quotas(ln.class_counts(frame), 0.2).collect()}
+
+
+def classes(spark, counts):
+    rows = [(c,) for c, n in counts.items() for _ in range(n)]
+    return spark.createDataFrame(rows, f"`{TARGET_COLUMN}` int")
+
+
+def test_quotas_follow_class_shares(spark):
+    assert quotas(classes(spark, {0: 30, 1: 70})) == {0: 6, 1: 14}
+    assert sum(quotas(classes(spark, {0: 7, 1: 11, 2: 13})).values()) == 7
+    with pytest.raises(Exception, match="too few rows"):
+        quotas(classes(spark, {0: 1, 1: 50}))
 
 
 def test_split_is_exact_and_repeatable(spark):
     frame = spark.range(5_003).select(F.col("id").alias("review_id"), (F.col("id") % 3 == 0).cast("int").alias(TARGET_COLUMN))
     split = ln.stratified_split(frame)
     counts = {(r[0], r[1]): r[2] for r in split.groupBy(TARGET_COLUMN, "split").count().collect()}
-    quotas = ln.test_quotas(ln.class_counts(frame), 0.2)
-    assert {c: counts[c, "test"] for c in (0, 1)} == quotas and sum(counts.values()) == 5_003
+    assert {c: counts[c, "test"] for c in (0, 1)} == quotas(frame) and sum(counts.values()) == 5_003
     again = ln.stratified_split(frame.repartition(5))
     assert split.exceptAll(again).isEmpty()
 
 
+@pytest.mark.parametrize("keys", [1, 4])
+def test_split_quota_holds_for_repeated_keys(spark, keys):
+    """Rows of one key, equal or not, are divided where the quota falls between them."""
+    number = F.col("id")
+    frame = spark.range(1_000).select(
+        (number % keys).alias("review_id"), (number % 2).cast("int").alias(TARGET_COLUMN), F.floor(number / 400).alias("content")
+    )
+    split = ln.stratified_split(frame)
+    assert split.columns == [*frame.columns, "split"]
+    counts = {(r[0], r[1]): r[2] for r in split.groupBy(TARGET_COLUMN, "split").count().collect()}
+    assert counts == {(0, "test"): 100, (1, "test"): 100, (0, "train"): 400, (1, "train"): 400}
+    assert split.drop("split").exceptAll(frame).isEmpty()
+    assert split.exceptAll(ln.stratified_split(frame.repartition(5))).isEmpty()
+
+
+def test_intermediate_tables_need_a_shared_folder():
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077", "applicationId": "a", "getCheckpointDir": staticmethod(lambda: None)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Cluster)
+
+
 def test_area_under_curve_counts_ties_half(spark):
     rng = np.random.default_rng(2)
     scores, labels = np.round(rng.random(400), 2), rng.integers(0, 2, 400)
@@ -81,7 +114,8 @@ def test_imputation_ties_and_constants(spark):
 
 
 def test_unknown_categories_have_no_cell(spark):
-    cells = ln.onehot(spark.createDataFrame([(1, "x"), (2, "new")], "review_id int, c string"), {"c": ["w", "x"]})
+    known = ln.category_positions(spark.createDataFrame([("x",), ("w",), ("x",)], "c string"), ["c"])
+    cells = ln.onehot(spark.createDataFrame([(1, "x"), (2, "new")], "review_id int, c string"), known, ["c"])
     assert [tuple(r) for r in cells.collect()] == [(1, "c", "x", 1)]
 
 
@@ -96,6 +130,12 @@ def test_long_and_vector_text_weights_agree(labelled, model):
     assert all(seen[k] == pytest.approx(long[k], abs=1e-12) for k in long)
 
 
+def test_text_weights_shuffle_no_terms(labelled):
+    """The terms of a text are weighted inside its row: the plan of the result has no exchange."""
+    plan = ln.tfidf_weights(labelled, ln.default_stop_words())._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
 def test_solution_matches_newton_on_the_penalised_objective(labelled, model):
     rows = model.table_stages.transform(model.vectorise_text(labelled)).collect()
     constants = model.constant_weights

@@ -34,13 +34,13 @@ from seamstat.schema import (
     TARGET_COLUMN,
     VISUAL_FEATURES,
 )
+from seamstat.sources.scratch import stored
 from workload import derived as dv
 
 Query = Callable[[SparkSession, str], DataFrame]
 PLACES = 6
 IMAGE_PLACES = 9  # means over 64 pixels can be exact ties at 6 places
 QUERIES: dict[str, Query] = {}
-SOLVER_STEPS = 60  # enough for a check; the library default runs to convergence
 LINEAR_SIZES = NLP_FEATURES + VISUAL_FEATURES
 
 
@@ -219,7 +219,7 @@ def impute_mode(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def onehot(spark: SparkSession, sf: str) -> DataFrame:
     cleaned = dv.cleaned(spark, sf)
-    return ln.onehot(cleaned, ln.category_lists(cleaned))
+    return ln.onehot(cleaned, stored(ln.category_positions(cleaned), "categories"))
 
 
 @query
@@ -260,7 +260,7 @@ def prediction_vs_actual(spark: SparkSession, sf: str) -> DataFrame:
 def batch_score(spark: SparkSession, sf: str) -> DataFrame:
     """Train the full text + number + category model, then score every raw review with it."""
     raw = dv.reviews(spark, sf)
-    model, _ = tr.train_and_evaluate(raw, max_iterations=SOLVER_STEPS)
+    model, _ = tr.train_and_evaluate(raw)
     return sc.batch_score(raw, model)
 
 
