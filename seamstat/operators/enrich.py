@@ -26,9 +26,14 @@ def attach_survey(
 def attach_images(
     df: DataFrame, images: DataFrame | Mapping[str, float] | None, key: str = ID_COLUMN
 ) -> DataFrame:
-    """Image block: from a statistics table keyed like ``df``, one record, or zeros."""
+    """Image block: from a statistics table keyed like ``df``, one record, or zeros.
+
+    Keys are read as the type of ``df``'s key; those that do not fit belong to no review
+    (``unfit_names`` counts them). Of several pictures of one review the smallest record counts.
+    """
     if isinstance(images, DataFrame):
-        joined = df.join(images.select(key, *IMAGE_FEATURES), key, "left")
+        fitting = images.withColumn(key, F.col(key).try_cast(df.schema[key].dataType))
+        joined = df.join(sv.one_per_key(fitting.select(key, *IMAGE_FEATURES), key), key, "left")
         return joined.withColumns(
             {n: F.coalesce(F.col(n), F.lit(0.0)) for n in IMAGE_FEATURES}
         )
@@ -36,6 +41,12 @@ def attach_images(
     return df.withColumns({name: F.lit(float(block[name])) for name in IMAGE_FEATURES})
 
 
+def unfit_names(images: DataFrame, df: DataFrame, key: str = ID_COLUMN) -> DataFrame:
+    """How many pictures have a name that cannot be the key of a review."""
+    unfit = F.col(key).try_cast(df.schema[key].dataType).isNull()
+    return images.agg(F.count_if(unfit).alias("unfit"))
+
+
 def enrich(
     df: DataFrame,
     survey: DataFrame | Mapping[str, float] | None = None,

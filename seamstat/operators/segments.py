@@ -19,6 +19,7 @@ BATCH_SAMPLE, BATCH_SEED = 500, 0
 TOP_DEPARTMENTS = 8
 LANDSCAPE_DEPARTMENTS = 12
 HISTOGRAM_BINS = 20
+PREVIEW_ROWS = 20
 # End of fixed values.
 
 
@@ -193,6 +194,8 @@ def category_options(reviews: DataFrame) -> DataFrame:
     return options.where(F.col("option").isNotNull()).distinct()
 
 
-def batch_preview(scored: DataFrame, rows: int = 20) -> DataFrame:
+def batch_preview(scored: DataFrame, rows: int = PREVIEW_ROWS, key: str = ID_COLUMN) -> DataFrame:
+    """The output columns of the first rows by key."""
     wanted = ["recommended_label", "score", "business_emoji", "local_ai_insight"]
-    return scored.select(*[c for c in wanted if c in scored.columns]).limit(rows)
+    first = scored.orderBy(key).limit(rows)
+    return first.select(key, *[c for c in wanted if c in scored.columns])

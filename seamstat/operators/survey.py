@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seamstat.functions import text as tx
+from seamstat.functions.rule_tables import first_text
 from seamstat.schema import (
     ANSWER_KEYS,
     CHOICE_CODES,
@@ -49,20 +50,33 @@ def survey_defaults(df: DataFrame) -> DataFrame:
     return df.withColumns({name: F.lit(value) for name, value in SURVEY_DEFAULTS.items()})
 
 
+# Tag names and thresholds.
+TAG_RULES = [
+    [([("survey_return_likelihood", ">=", 0.7)], "high_return_intent")],
+    [([("survey_repurchase_likelihood", ">=", 0.7)], "high_repurchase_intent")],
+    [([("survey_fit_vs_expectation", "<=", 2)], "poor_fit_experience")],
+    [([("survey_color_accuracy", "<=", 2)], "color_mismatch_reported")],
+    [([("survey_size_vs_usual", "<", 0)], "runs_small"), ([("survey_size_vs_usual", ">", 0)], "runs_large")],
+    [([("survey_photo_uploaded", ">=", 1)], "product_photo_provided")],
+]
+JOURNEY_STAGES = ["Purchase", "Fit", "Quality", "Logistics", "Recommend"]
+JOURNEY_ANSWERS = ["fit_vs_expectation", "material_vs_price", "shipping_satisfaction"]
+NEUTRAL_ANSWER, NEUTRAL_INTENT, BEST_ANSWER = 3, 0.5, 5.0
+JOURNEY_LINKS = [
+    ("Purchase", "Fit", "fit_vs_expectation", 0.1),
+    ("Purchase", "Quality", "material_vs_price", 0.1),
+    ("Fit", "Logistics", "shipping_satisfaction", 0.1),
+    ("Quality", "Intent", "repurchase_likelihood", 0.1),
+    ("Logistics", "Intent", "repurchase_likelihood", 0.1),
+    ("Intent", "Recommend", "score", 0.05),
+]
+# End of fixed values.
+
+
 def survey_tags() -> Column:
     """Space-separated tags for the survey columns of the row, maybe none."""
-    size = F.col("survey_size_vs_usual")
-    # Tag names and thresholds.
-    return F.concat_ws(
-        " ",
-        F.when(F.col("survey_return_likelihood") >= 0.7, "high_return_intent"),
-        F.when(F.col("survey_repurchase_likelihood") >= 0.7, "high_repurchase_intent"),
-        F.when(F.col("survey_fit_vs_expectation") <= 2, "poor_fit_experience"),
-        F.when(F.col("survey_color_accuracy") <= 2, "color_mismatch_reported"),
-        F.when(size < 0, "runs_small").when(size > 0, "runs_large"),
-        F.when(F.col("survey_photo_uploaded") >= 1, "product_photo_provided"),
-    )
-    # End of fixed values.
+    inputs = {name: F.col(name) for rules in TAG_RULES for conditions, _ in rules for name, _, _ in conditions}
+    return F.concat_ws(" ", *[first_text(rules, inputs) for rules in TAG_RULES])
 
 
 def with_augmented_text(
@@ -131,18 +145,14 @@ def _answer(name: str, default: float) -> Column:
     return F.coalesce(F.col(name).cast("double"), F.lit(float(default)))
 
 
+def _answer_share(name: str) -> Column:
+    return _answer(name, NEUTRAL_ANSWER) / F.lit(BEST_ANSWER)
+
+
 def journey_funnel(scored_answers: DataFrame, keep: list[str]) -> DataFrame:
     """Five stages from purchase to recommendation, as percentages."""
-    share = lambda name: _answer(name, 3) / F.lit(5.0) * F.lit(100.0)
-    # Stage names and their order.
-    stages = [
-        ("Purchase", F.lit(100.0)),
-        ("Fit", share("fit_vs_expectation")),
-        ("Quality", share("material_vs_price")),
-        ("Logistics", share("shipping_satisfaction")),
-        ("Recommend", F.col("score") * F.lit(100.0)),
-    ]
-    # End of fixed values.
+    shares = [F.lit(1.0), *map(_answer_share, JOURNEY_ANSWERS), F.col("score")]
+    stages = [(stage, share * F.lit(100.0)) for stage, share in zip(JOURNEY_STAGES, shares, strict=True)]
     return _long(
         scored_answers,
         keep,
@@ -162,8 +172,8 @@ def journey_by_segment(scored_answers: DataFrame, segment: str = "Department Nam
     wide = scored_answers.groupBy(segment).agg(
         F.count(F.lit(1)).alias("n"),
         *[
-            F.avg(_answer(name, 3)).alias(name)
-            for name in ["fit_vs_expectation", "material_vs_price", "shipping_satisfaction"]
+            F.avg(_answer(name, NEUTRAL_ANSWER)).alias(name)
+            for name in JOURNEY_ANSWERS
         ],
         F.avg("score").alias("score"),
     )
@@ -172,20 +182,10 @@ def journey_by_segment(scored_answers: DataFrame, segment: str = "Department Nam
 
 def journey_links(scored_answers: DataFrame, key: str = ID_COLUMN) -> DataFrame:
     """Six weighted edges of the survey path."""
-    fit = _answer("fit_vs_expectation", 3) / F.lit(5.0)
-    quality = _answer("material_vs_price", 3) / F.lit(5.0)
-    shipping = _answer("shipping_satisfaction", 3) / F.lit(5.0)
-    repurchase = _answer("repurchase_likelihood", 0.5)
-    # Edges and the smallest width of each.
-    links = [
-        ("Purchase", "Fit", fit, 0.1),
-        ("Purchase", "Quality", quality, 0.1),
-        ("Fit", "Logistics", shipping, 0.1),
-        ("Quality", "Intent", repurchase, 0.1),
-        ("Logistics", "Intent", repurchase, 0.1),
-        ("Intent", "Recommend", F.col("score"), 0.05),
-    ]
-    # End of fixed values.
+    values = {name: _answer_share(name) for name in JOURNEY_ANSWERS} | {
+        "repurchase_likelihood": _answer("repurchase_likelihood", NEUTRAL_INTENT),
+        "score": F.col("score"),
+    }
     return _long(
         scored_answers,
         [key],
@@ -193,9 +193,9 @@ def journey_links(scored_answers: DataFrame, key: str = ID_COLUMN) -> DataFrame:
             F.struct(
                 F.lit(source).alias("source"),
                 F.lit(target).alias("target"),
-                F.greatest(F.lit(floor), value).alias("value"),
+                F.greatest(F.lit(floor), values[name]).alias("value"),
             )
-            for source, target, value, floor in links
+            for source, target, name, floor in JOURNEY_LINKS
         ],
     )
 
@@ -213,17 +213,26 @@ def intent_gauges(scored_answers: DataFrame, key: str = ID_COLUMN) -> DataFrame:
     )
 
 
+def one_per_key(df: DataFrame, key: str) -> DataFrame:
+    """Of several rows of one key, the smallest by its other columns in order; nulls come first.
+
+    The join that follows uses the same partitioning by key, so this costs no further shuffle.
+    """
+    others = [F.col(f"`{c}`") for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.min(F.struct(*others)).alias("__first")).select(key, "__first.*")
+
+
 def answers_for(df: DataFrame, answers: DataFrame, key: str = ID_COLUMN) -> DataFrame:
-    """Left-join raw answers; reviews without any keep nulls."""
+    """Left-join raw answers, one record for each review; reviews without any keep nulls."""
     known = [name for name in ANSWER_KEYS if name in answers.columns]
     missing = {name: F.lit(None).cast("double") for name in ANSWER_KEYS if name not in known}
-    joined = df.join(answers.select(key, *known), key, "left")
+    joined = df.join(one_per_key(answers.select(key, *known), key), key, "left")
     return joined.withColumns(missing) if missing else joined
 
 
 def join_encoded(df: DataFrame, encoded: DataFrame, key: str = ID_COLUMN) -> DataFrame:
-    """Left-join the encoded block; reviews without a survey get the defaults."""
-    joined = df.join(encoded.select(key, *SURVEY_FEATURES), key, "left")
+    """Left-join the encoded block, one record for each review; others get the defaults."""
+    joined = df.join(one_per_key(encoded.select(key, *SURVEY_FEATURES), key), key, "left")
     return joined.withColumns(
         {n: F.coalesce(F.col(n), F.lit(v)) for n, v in SURVEY_DEFAULTS.items()}
     )

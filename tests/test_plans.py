@@ -49,3 +49,20 @@ def test_files_are_scored_as_they_arrive(spark, tmp_path):
         assert spark.read.parquet(out).count() == (2, 3)[i]
     labels = {r["Title"]: r["recommended_label"] for r in spark.read.parquet(out).collect()}
     assert labels[PRESETS[0][0]] == "Recommended" and labels[PRESETS[1][0]] == "Not recommended"
+
+
+def test_joins_keep_one_row_per_review(spark, presets):
+    """Repeated answers and pictures, and a picture whose name is no key, add no review."""
+    from seamstat.operators.enrich import attach_images, attach_survey, unfit_names
+    from seamstat.operators.survey import answers_for
+    from seamstat.schema import IMAGE_FEATURES
+
+    answers = spark.createDataFrame([(0, 5.0), (0, 2.0), (1, None), (None, 1.0)], "review_id bigint, fit_vs_expectation double")
+    joined = attach_survey(presets, answers)
+    assert joined.count() == answers_for(presets, answers).count() == 3
+    assert {r["review_id"]: r["survey_fit_vs_expectation"] for r in joined.collect()}[0] == 2.0
+    zeros = ", ".join(f"CAST(1 AS DOUBLE) AS {n}" for n in IMAGE_FEATURES)
+    images = spark.sql(f"SELECT name AS review_id, {zeros} FROM VALUES ('1'), ('1'), ('front'), ('01x') AS t(name)")
+    pictured = attach_images(presets, images)
+    assert sorted((r["review_id"], r["img_has_image"]) for r in pictured.collect()) == [(0, 0.0), (1, 1.0), (2, 0.0)]
+    assert unfit_names(images, presets).first()["unfit"] == 2

@@ -322,7 +322,7 @@ def review_emoji(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def review_insights(spark: SparkSession, sf: str) -> DataFrame:
     told = ru.review_insights(explained_answers(spark, sf))
-    return told.select("review_id", F.posexplode("insights").alias("place", "insight"))
+    return told.select("review_id", F.posexplode_outer("insights").alias("place", "insight"))
 
 
 @query
@@ -333,6 +333,28 @@ def batch_signals(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def predict_and_explain(spark: SparkSession, sf: str) -> DataFrame:
+    """Score and breakdown of each review in one record, unfolded for the comparison."""
+    told = ex.explained(scorer(ranked_frame(spark, sf)))
+    grouped = told.select(
+        "review_id", "score", "prediction", "recommended_label", F.explode_outer("breakdown").alias("group", "features")
+    )
+    unfolded = grouped.select(*grouped.columns[:-1], F.explode_outer("features").alias("feature", "value"))
+    return rounded(unfolded, "score")
+
+
+@query
+def verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    scored = dv.scored(spark, sf)
+    return scored.select("review_id", ru.verdict(F.col("prediction")).alias("verdict"))
+
+
+@query
+def batch_preview(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(sg.batch_preview(ru.batch_signals(dv.scored(spark, sf))))
+
+
 # -- segments -----------------------------------------------------------------------------
 
 

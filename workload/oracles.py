@@ -668,17 +668,26 @@ lists AS (SELECT review_id, list_filter([
          ELSE 'Recommended action: monitor additional reviews before making category-level changes.' END], lambda t: t IS NOT NULL)[1:5] AS items FROM told)""",
     "SELECT review_id, CAST(unnest(range(len(items))) AS INTEGER) AS place, unnest(items) AS insight FROM lists",
 )
-define(
-    "batch_signals",
-    SCORED,
-    """SELECT review_id, recommended_label, concat_ws(' | ',
+BATCH_TEXTS = """concat_ws(' | ',
     CASE WHEN prediction = 1 AND score >= 0.8 THEN '✅ Strong buy signal' WHEN score >= 0.5 THEN '🤔 Mixed signal' ELSE '⚠️ Risk signal' END,
     CASE WHEN "Rating" >= 4 THEN '⭐ High rating' WHEN "Rating" > 0 AND "Rating" <= 2.5 THEN '⭐ Low rating' END,
     CASE WHEN "Positive Feedback Count" >= 8 THEN '👍 Helpful traction' END) AS business_emoji,
   CASE WHEN prediction = 1 AND score >= 0.8 THEN 'Promote in high-conversion slots; confidence and sentiment are aligned.'
     WHEN prediction = 0 AND score >= 0.65 THEN 'Prioritize remediation workflow; strong non-recommend pattern.'
     WHEN "Rating" >= 4 AND score < 0.6 THEN 'Star rating is high but text signal is mixed; validate review consistency.'
-    ELSE 'Monitor and collect more evidence before large-scale merchandising changes.' END AS local_ai_insight FROM scored""",
+    ELSE 'Monitor and collect more evidence before large-scale merchandising changes.' END AS local_ai_insight"""
+define("batch_signals", SCORED, f"SELECT review_id, recommended_label, {BATCH_TEXTS} FROM scored")
+define(
+    "batch_preview",
+    SCORED,
+    f"SELECT review_id, recommended_label, {rd('score', 'score')}, {BATCH_TEXTS} FROM scored ORDER BY review_id LIMIT 20",
+)
+define("verdicts", SCORED, "SELECT review_id, CASE WHEN prediction = 1 THEN 'Recommended' ELSE 'Not recommended' END AS verdict FROM scored")
+define(
+    "predict_and_explain",
+    LONG + "," + scored_cte("frame"),
+    f"""SELECT review_id, {rd('score', 'score')}, prediction, recommended_label, grp AS "group", feature, value
+FROM signals JOIN scored USING (review_id)""",
 )
 
 # -- segments -----------------------------------------------------------------------------
