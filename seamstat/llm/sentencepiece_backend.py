@@ -22,7 +22,9 @@ Scale
 from __future__ import annotations
 
 import heapq
+import os
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,7 +39,8 @@ from seamstat.llm import piece_model as pm
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
-REMEMBERED_WORDS = 200_000
+REMEMBERED_WORDS = 500_000
+THREADS = 2  # of the tokenizers library in each Python worker, unless the environment says otherwise
 CHARS_AT_ONCE = 2_000_000
 WORDS = re.compile(f"{MARKER}*[^{MARKER}]+|{MARKER}+")
 
@@ -147,6 +150,7 @@ class PieceCodec:
 
     def _open(self) -> None:
         if self.tokenizer is None:
+            os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
             self.model = pm.parse(self.proto)
             self.tokenizer = backend(self.model)
             self.charsmap = normalizers.Precompiled(self.model.charsmap) if self.model.charsmap else None
@@ -178,12 +182,11 @@ class PieceCodec:
             fresh = {w for words in texts for w in words}
         listed = list(fresh)
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(listed, add_special_tokens=False)]
-        for i, word in enumerate(listed):
-            if any(piece in word for piece in self.tied):
-                encoded[i] = [n for part in joined_by_score(word, self.scores) for n in self._ids_of(part)]
+        for i in {i for piece in self.tied for i, word in enumerate(listed) if piece in word}:
+            encoded[i] = [n for part in joined_by_score(listed[i], self.scores) for n in self._ids_of(part)]
         decoded = self.tokenizer.decode_batch(encoded, skip_special_tokens=False)
         for word, ids, back in zip(listed, encoded, decoded, strict=True):
-            self.known[word] = np.array(ids, np.int32).tobytes(), back == word.replace(MARKER, " ")
+            self.known[word] = array("i", ids).tobytes(), back == word.replace(MARKER, " ")
 
     def _ids_of(self, part: str) -> list[int]:
         """The id of a piece, or what stands for a character that is none."""

@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as driver
 from seamstat.llm import registry
-from seamstat.llm.storage import shared_folder
+from seamstat.sources.scratch import shared_folder
 from workload.compare import connect, differences
 
 SMALL = "/root/testdata/sf0.001"

@@ -1,6 +1,6 @@
 import random
 
-from seamstat.llm import url_rules
+from seamstat.llm import registry, url_rules
 
 RULE = "host string, path string, verdict string"
 RULES = [
@@ -42,6 +42,5 @@ def test_empty_tables(spark):
 
 
 def test_plan_has_no_python_and_no_single_partition(spark):
-    pages = spark.createDataFrame([(1, "http://a.org/x")], "page_id bigint, url string")
-    plan = url_rules.judge(pages, spark.sql("SELECT 'org' AS host, '/' AS path, 'allow' AS verdict"))._jdf.queryExecution().executedPlan().toString()
+    plan = registry.QUERIES["op4_url_filter"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "SinglePartition" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
