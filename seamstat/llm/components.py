@@ -9,21 +9,30 @@ with very many edges is a skewed join key, which adaptive execution splits.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamstat.llm.storage import stored
+from seamstat.sources.scratch import stored
 
 MAX_ROUNDS = 100  # far above the logarithm of any component's size
 
 
-def _state(edges: DataFrame) -> Row:
-    return edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("node", "root"))).first()
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge, to a root that has none itself."""
+    ends = edges.select(F.col("node").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("root").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    uses = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return uses.where("up > 1 OR (up > 0 AND down > 0)").isEmpty()
 
 
 def _to_smallest(arcs: DataFrame) -> DataFrame:
-    """(node, other, least): each arc from node to other, with the least of node's others."""
-    least = arcs.groupBy(F.col("node").alias("of")).agg(F.min("other").alias("least"))
+    """(node, other, least): each arc from node to other, with the least of node's others.
+
+    The least are written, because a join with a grouped table itself could not split a node with
+    very many arcs.
+    """
+    least = stored(arcs.groupBy(F.col("node").alias("of")).agg(F.min("other").alias("least")), "least")
     return arcs.join(least, F.col("node") == F.col("of")).drop("of")
 
 
@@ -55,10 +64,8 @@ def components(links: DataFrame) -> DataFrame:
         .distinct(),
         "links",
     )
-    state = _state(edges)
     for _ in range(MAX_ROUNDS):
-        edges = stored(small_star(large_star(edges)), "stars")
-        before, state = state, _state(edges)
-        if state == before:
+        if _settled(edges):
             return edges
+        edges = stored(small_star(large_star(edges)), "stars")
     raise RuntimeError("components did not settle")

@@ -6,9 +6,11 @@ Jaccard similarity of their sets is at least 0.75, and groups are what links con
 1. Each text gives its set's size, a digest of the whole set, ``BANDS`` keys of ``ROWS`` minima
    each under universal hash functions, and the low byte of each minimum as a signature.
    Documents with equal digests have similarity 1; only the smallest of them goes on.
-2. Documents that share a band key form a bucket. Every member is compared with the bucket's
-   smallest: by signature, which drops a pair only when five standard deviations below the
-   limit, then by the full sets. The links found are closed to components.
+2. Documents that share a band key form a bucket, led by its smallest. Every member is compared
+   with the leader it shares most bands with: by signature, which drops a pair only when five
+   standard deviations below the limit, then by the full sets. The links found are closed to
+   components. Where two components meet, the pair of a leader and a member that shares most bands
+   is compared, and after that every member with the leaders that it is still apart from.
 3. In a bucket that still holds several components, every member outside its largest component is
    compared with all members of other components, in the same two steps. So each pair in a common
    bucket that could change a component is looked at, and pairs within one are not.
@@ -17,12 +19,13 @@ A pair at exactly 0.75 shares no bucket with probability 3e-4; at 0.8, 3e-6.
 
 Defined results
     A null or blank text has an empty set, is linked with nothing and is its own component; so is
-    a row with a null id, whose component is null and which is kept. Rows with one id count as one
-    document: what one of them is linked with, all are, and all of them are kept or none. Further
+    a row with a null id, whose component is null and which is kept. Rows with one id and text that is
+    not blank count as one document: what one of them is linked with, all are, and all of them are
+    kept or none. Further
     columns are not read. An empty table gives an empty result.
 
 Scale
-    No pair within equal sets or within a component is formed beyond one for each member and band.
+    No pair within equal sets is formed, and within a component one for each member and band at most.
     Digests, bands and links stay in Spark tables. Full sets are read again from the texts, of the
     documents in pairs that pass the signature only. Large groups are skewed join keys, which
     adaptive execution splits.
@@ -40,7 +43,7 @@ from pyspark.sql import functions as F
 
 from seamstat.llm.components import components
 from seamstat.llm.shingles import mixed, shingle_sets
-from seamstat.llm.storage import stored
+from seamstat.sources.scratch import stored
 
 BANDS, ROWS = 42, 6
 PERCENT = 75
@@ -172,6 +175,30 @@ def _root(component: DataFrame, node: Column, name: str, df: DataFrame) -> DataF
     return joined.withColumn(name, F.coalesce("__root", node)).drop("__node", "__root")
 
 
+def _apart(buckets: DataFrame, component: DataFrame) -> DataFrame:
+    """(key, id, root) of the buckets that hold several components."""
+    placed = stored(_root(component, F.col("id"), "root", buckets.select("key", "id")), "placed")
+    spread = placed.groupBy(F.col("key").alias("of_key")).agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    open_ = stored(spread.where("low < high").select("of_key"), "open")
+    return stored(placed.join(open_, F.col("key") == F.col("of_key"), "left_semi"), "apart")
+
+
+def _with_heads(apart: DataFrame) -> DataFrame:
+    """(a, b, low, high): the leader of each bucket with each member of another component, and both components."""
+    heads = stored(apart.groupBy(F.col("key").alias("of_key")).agg(F.min(F.struct("id", "root")).alias("head")), "heads")
+    others = apart.join(heads, (F.col("key") == F.col("of_key")) & (F.col("root") != F.col("head.root")))
+    return others.select(
+        F.col("head.id").alias("a"),
+        F.col("id").alias("b"),
+        F.least("root", "head.root").alias("low"),
+        F.greatest("root", "head.root").alias("high"),
+    )
+
+
+def _as_links(component: DataFrame) -> DataFrame:
+    return component.select(F.col("root").alias("a"), F.col("node").alias("b"))
+
+
 def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     every = stored(signed(docs), "signed")
@@ -188,10 +215,9 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     firsts = stored(first.select("id", "bands", "signature").dropDuplicates(["id", "signature"]), "firsts")
     marks = firsts.select("id", F.explode("bands").alias("key"))
     shared = marks.groupBy(F.col("key").alias("of_key")).agg(F.min("id").alias("leader"), F.max("id").alias("last"))
-    buckets = stored(
-        marks.join(shared.where("leader < last"), F.col("key") == F.col("of_key")).select("key", "id", "leader"),
-        "buckets",
-    )
+    # Written, because a join with a grouped table itself could not split a large bucket.
+    shared = stored(shared.where("leader < last").select("of_key", "leader"), "leaders")
+    buckets = stored(marks.join(shared, F.col("key") == F.col("of_key")).select("key", "id", "leader"), "buckets")
     signatures = firsts.select("id", "signature")
 
     def with_signatures(pairs: DataFrame) -> DataFrame:
@@ -199,25 +225,31 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             signatures.select(F.col("id").alias("b"), F.col("signature").alias("right")), "b"
         )
 
-    to_leader = buckets.where("id > leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = stored(
-        confirmed(docs, stored(alike(with_signatures(to_leader), percent), "pairs"), percent).unionByName(
-            _same_id(every, one_of)
-        ),
-        "links",
-    )
-    component = components(links)
+    def linked(pairs: DataFrame) -> DataFrame:
+        return confirmed(docs, stored(alike(with_signatures(pairs), percent), "pairs"), percent)
+
+    # Each member with the leader that it shares most bands with, then with those still apart from it.
+    shares = buckets.where("id > leader").groupBy("leader", "id").agg(F.count(F.lit(1)).alias("n"))
+    closest = shares.groupBy(F.col("id").alias("b")).agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("a"))
+    component = components(stored(linked(closest.select("a", "b")).unionByName(_same_id(every, one_of)), "links"))
+    # Of two components that meet in buckets, first the pair that shares most bands, then all pairs.
+    apart = _apart(buckets, component)
+    meeting = _with_heads(apart).groupBy("a", "b", "low", "high").agg(F.count(F.lit(1)).alias("n"))
+    best = meeting.groupBy("low", "high").agg(F.max_by(F.struct("a", "b"), F.struct("n", "a", "b")).alias("pair"))
+    more = stored(linked(best.select("pair.*")), "links")
+    component = components(more.unionByName(_as_links(component)))
+    apart = _apart(apart, component)
+    more = stored(linked(_with_heads(apart).select("a", "b").distinct()), "links")
+    component = components(more.unionByName(_as_links(component)))
 
     # What is left: buckets that still hold several components.
-    placed = stored(_root(component, F.col("id"), "root", buckets.select("key", "id")), "placed")
-    counts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = (
-        counts.groupBy(F.col("key").alias("of_key"))
-        .agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count(F.lit(1)).alias("roots"))
-        .where("roots > 1")
+    apart = _apart(apart, component)
+    counts = apart.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    largest = stored(
+        counts.groupBy(F.col("key").alias("of_key")).agg(F.max_by("root", F.struct("n", "root")).alias("largest")), "largest"
     )
     several = stored(
-        placed.join(largest, F.col("key") == F.col("of_key"))
+        apart.join(largest, F.col("key") == F.col("of_key"))
         .select("key", "id", "root", (F.col("root") == F.col("largest")).alias("bulk"))
         .join(signatures, "id"),
         "several",
@@ -233,9 +265,7 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
     more = stored(alike(crossing, percent).distinct(), "crossing")
     if not more.isEmpty():
-        component = components(
-            confirmed(docs, more, percent).unionByName(component.select(F.col("root").alias("a"), F.col("node").alias("b")))
-        )
+        component = components(confirmed(docs, more, percent).unionByName(_as_links(component)))
 
     of_digest = stored(_root(component, F.col("id"), "component_id", one_of).select(F.col("digest").alias("of"), "component_id"), "roots")
     return (
