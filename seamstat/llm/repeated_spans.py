@@ -3,7 +3,8 @@
 A sentence ends after ``.``, ``!``, ``?`` or ``…`` before white space, and at a line break. One of
 over ``LONG`` words is cut again after every word whose checksum is divisible by ``CUT``, so that a
 passage inside it is cut alike wherever it begins. At each sentence begins one span: the shortest
-run of sentences with at least ``SENTENCES`` sentences and ``WORDS`` words. Spans are compared by a
+run of sentences with at least ``SENTENCES`` sentences and ``WORDS`` words; the last such run also counts
+extended to the end of the text. Spans are compared by a
 64-bit hash of their lower-cased words. The first of equal spans, by document id and place, stays;
 every sentence that another of them covers is removed.
 
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamstat.llm.storage import stored
+from seamstat.sources.scratch import stored
 
 SENTENCES = 2
 WORDS = 16
@@ -65,57 +66,65 @@ def sentences(text: str) -> list[tuple[int, str, int]]:
 
 
 def spans(found: list[tuple[int, str, int]]) -> Iterator[tuple[int, int, int]]:
-    """(hash, first sentence, last sentence) of the span that begins at each sentence."""
-    last, words = -1, 0  # the run is first .. last
+    """(hash, first sentence, last sentence) of the span that begins at each sentence, and of the last to the end."""
+
+    def hashed(first: int, last: int) -> tuple[int, int, int]:
+        words = " ".join([s[1] for s in found[first : last + 1]])
+        return xxhash.xxh3_64_intdigest(words.encode("utf-8", "surrogatepass")), first, last
+
+    end, last, words = len(found) - 1, -1, 0  # the run is first .. last
     for first in range(len(found)):
-        while last + 1 < len(found) and (last - first + 1 < SENTENCES or words < WORDS):
+        before = last
+        while last < end and (last - first + 1 < SENTENCES or words < WORDS):
             last += 1
             words += found[last][2]
         if last - first + 1 < SENTENCES or words < WORDS:
+            if first and before < end:
+                yield hashed(first - 1, end)
             return
-        yield xxhash.xxh3_64_intdigest(" ".join([s[1] for s in found[first : last + 1]]).encode("utf-8", "surrogatepass")), first, last
+        yield hashed(first, last)
         words -= found[first][2]
 
 
 def span_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(hash, doc_id, first, last) of all spans."""
+    """(hash, doc_id, run) of all spans; run holds the first sentence in its upper half, the last in its lower."""
     known_as = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, rows, firsts, lasts = [], [], [], []
+            hashes, rows, runs = [], [], []
             for row, content in enumerate(batch.column(1).to_pylist()):
                 for value, first, last in spans(sentences(content)):
                     hashes.append(value - (1 << 63))
                     rows.append(row)
-                    firsts.append(first)
-                    lasts.append(last)
+                    runs.append(first << 32 | last)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(hashes, pa.int64()),
                     batch.column(0).take(pa.array(rows, pa.int64())),
-                    pa.array(firsts, pa.int32()),
-                    pa.array(lasts, pa.int32()),
+                    pa.array(runs, pa.int64()),
                 ],
-                ["hash", "doc_id", "first", "last"],
+                ["hash", "doc_id", "run"],
             )
 
     known = docs.select(key, text).where(F.col(key).isNotNull() & F.col(text).isNotNull())
-    return known.mapInArrow(run, f"hash bigint, doc_id {known_as}, first int, last int")
+    return known.mapInArrow(run, f"hash bigint, doc_id {known_as}, run bigint")
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, spans): first and last sentence of every repeated span, and whether it is a later one."""
+    """(doc_id, spans): the run of every repeated span, and whether it is a later one of its kind."""
     every = stored(span_table(docs, key, text), "spans")
-    place = F.struct("doc_id", "first")
-    several = (
+    place = F.struct("doc_id", "run")
+    # Written, because a join with a grouped table itself could not split a frequent passage.
+    several = stored(
         every.groupBy(F.col("hash").alias("of"))
-        .agg(F.min(place).alias("earliest"), F.max(place).alias("latest"))
-        .where(F.col("earliest") < F.col("latest"))
-        .select("of", "earliest")
+        .agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("times"))
+        .where("times > 1")
+        .select("of", "earliest"),
+        "several",
     )
     found = every.join(several, F.col("hash") == F.col("of")).withColumn("later", place != F.col("earliest"))
-    return found.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last", "later")).alias("spans"))
+    return found.groupBy("doc_id").agg(F.collect_set(F.struct("run", "later")).alias("spans"))
 
 
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -135,7 +144,7 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             texts, counts, again, gone = [], [], [], []
             for content, found in zip(batch.column(at).to_pylist(), batch.column("__span_found").to_pylist(), strict=True):
                 parts = sentences(content or "")
-                ranges = [(range(s["first"], min(s["last"] + 1, len(parts))), s["later"]) for s in found or ()]
+                ranges = [(range(s["run"] >> 32, min((s["run"] & 0xFFFFFFFF) + 1, len(parts))), s["later"]) for s in found or ()]
                 covered = {i for places, later in ranges if later for i in places}
                 starts = [0, *[end for end, _, _ in parts]]
                 if covered:

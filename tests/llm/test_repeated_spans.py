@@ -12,7 +12,11 @@ def brute(rows):
     for (doc, text), found in zip(rows, parts, strict=True):
         if doc is None or text is None:
             continue
-        for first in range(len(found)):
+        starts = [i for i in range(len(found) - rs.SENTENCES + 1) if sum(s[2] for s in found[i:]) >= rs.WORDS]
+        if starts:
+            words = " ".join(s[1] for s in found[starts[-1] :])
+            places.setdefault(words, set()).add((doc, starts[-1], len(found) - 1))
+        for first in starts:
             for last in range(first + rs.SENTENCES - 1, len(found)):
                 if sum(s[2] for s in found[first : last + 1]) >= rs.WORDS:
                     words = " ".join(s[1] for s in found[first : last + 1])
