@@ -42,8 +42,9 @@ UNKNOWN_LANGUAGE = "und"
 WORD_START = "▁"
 LONGEST = 32
 SMOOTHING = 0.01
-REMEMBERED_WORDS = 300_000
-CHARS_AT_ONCE = 2_000_000
+REMEMBERED_WORDS = 200_000
+WORDS_AT_ONCE = 4_000
+CHARS_AT_ONCE = 1_000_000
 LETTERS = re.compile(r"[^\W\d_]+")
 FOLDS = 5
 
@@ -137,7 +138,7 @@ def expected_counts(pieces: Pieces, words: list[str], uses: np.ndarray, table: n
     """Expected uses of each piece in each language, over all segmentations of all words."""
     counts = np.zeros_like(table)
     for group in by_length(words):
-        for part in np.array_split(group, len(group) // 20_000 + 1):
+        for part in np.array_split(group, len(group) // WORDS_AT_ONCE + 1):
             spans = pieces.spans([WORD_START + words[i] for i in part])
             n = spans[0].shape[1]
             before = forward(spans, table)
@@ -180,7 +181,7 @@ class LanguageModel:
         self.index = self.index or Pieces(self.pieces)
         logs = np.zeros((len(words), len(self.languages)))
         for group in by_length(words):
-            for part in np.array_split(group, len(group) // 20_000 + 1):
+            for part in np.array_split(group, len(group) // WORDS_AT_ONCE + 1):
                 spans = self.index.spans([WORD_START + words[i] for i in part])
                 logs[part] = np.log(forward(spans, self.table)[-1])
         return logs

@@ -4,10 +4,10 @@ A document's set holds its distinct shingles of five words. Two documents are li
 Jaccard similarity of their sets is at least 0.75, and groups are what links connect.
 
 1. Each text gives its set's size, a digest of the whole set, ``BANDS`` keys of ``ROWS`` minima
-   each under universal hash functions, and the low byte of each minimum as a signature.
+   each under universal hash functions, and the lowest bits of ``MINIMA`` minima as a signature.
    Documents with equal digests have similarity 1; only the smallest of them goes on.
 2. Documents that share a band key form a bucket, led by its smallest. Every member is compared
-   with the leader it shares most bands with: by signature, which drops a pair only when five
+   with the leader it shares most bands with: by signature, which drops a pair only when 3.5
    standard deviations below the limit, then by the full sets. The links found are closed to
    components. Where two components meet, the pair of a leader and a member that shares most bands
    is compared, and after that every member with the leaders that it is still apart from.
@@ -15,7 +15,8 @@ Jaccard similarity of their sets is at least 0.75, and groups are what links con
    compared with all members of other components, in the same two steps. So each pair in a common
    bucket that could change a component is looked at, and pairs within one are not.
 
-A pair at exactly 0.75 shares no bucket with probability 3e-4; at 0.8, 3e-6.
+A pair at exactly 0.75 shares no bucket with probability 3e-4, and its signature drops it with 2e-4;
+at 0.8 both are below 1e-5.
 
 Defined results
     A null or blank text has an empty set, is linked with nothing and is its own component; so is
@@ -46,13 +47,14 @@ from seamstat.llm.shingles import mixed, shingle_sets
 from seamstat.sources.scratch import stored
 
 BANDS, ROWS = 42, 6
+MINIMA = 1024  # hash functions; the bands use the first BANDS * ROWS
 PERCENT = 75
-DEVIATIONS = 5.0
+DEVIATIONS = 3.5
 ELEMENTS_AT_ONCE = 1 << 15
 
 _random = np.random.default_rng(17)
-_FACTORS = _random.integers(0, 2**31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
-_SHIFTS = _random.integers(0, 2**32, BANDS * ROWS, np.uint32)
+_FACTORS = _random.integers(0, 2**31, MINIMA, np.uint32) * np.uint32(2) + np.uint32(1)
+_SHIFTS = _random.integers(0, 2**32, MINIMA, np.uint32)
 _IN_BAND = _random.integers(0, 2**63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -76,11 +78,17 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
-    grouped = least.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    grouped = least[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
     keys = (grouped * _IN_BAND).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
     return mixed(keys).view(np.int64)
 
 
+def packed(least: np.ndarray) -> np.ndarray:
+    """The lowest bit of all minima, in 64-bit words."""
+    low = (least & 1).astype(np.uint64).reshape(len(least), -1, 64)
+    return (low << np.arange(64, dtype=np.uint64)).sum(2, dtype=np.uint64).view(np.int64)
+
+
 def signed(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, digest, bands and signature; the last three null for an empty set."""
     known_as = docs.schema["doc_id"].dataType.simpleString()
@@ -92,44 +100,37 @@ def signed(docs: DataFrame) -> DataFrame:
             full = np.flatnonzero(sizes)
             digests, bands, signatures = ([None] * len(sets) for _ in range(3))
             least = minima([sets[i] for i in full])
-            for i, keys, low in zip(full, band_keys(least), (least & 0xFF).astype(np.uint8), strict=True):
+            for i, keys, low in zip(full, band_keys(least), packed(least), strict=True):
                 digests[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
                 bands[i] = keys
-                signatures[i] = low.tobytes()
+                signatures[i] = low
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(sizes),
                     pa.array(digests, pa.binary()),
                     pa.array(bands, pa.list_(pa.int64())),
-                    pa.array(signatures, pa.binary()),
+                    pa.array(signatures, pa.list_(pa.int64())),
                 ],
                 ["doc_id", "n_shingles", "digest", "bands", "signature"],
             )
 
-    schema = f"doc_id {known_as}, n_shingles bigint, digest binary, bands array<bigint>, signature binary"
+    schema = f"doc_id {known_as}, n_shingles bigint, digest binary, bands array<bigint>, signature array<bigint>"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _bytes_equal(left: pa.Array, right: pa.Array) -> np.ndarray:
-    a = np.frombuffer(b"".join(left.to_pylist()), np.uint8).reshape(len(left), -1)
-    b = np.frombuffer(b"".join(right.to_pylist()), np.uint8).reshape(len(right), -1)
-    return (a == b).mean(1)
-
-
-def alike(pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b, left, right) whose signatures do not rule out the similarity, as (a, b)."""
-    limit = percent / 100.0
-    least = limit - DEVIATIONS * (limit * (1 - limit) / (BANDS * ROWS)) ** 0.5
+def alike(left: Column, right: Column, percent: int = PERCENT) -> Column:
+    """Whether two signatures do not rule the similarity out.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                near = _bytes_equal(batch.column(2), batch.column(3)) >= least
-                yield batch.select([0, 1]).filter(pa.array(near))
-
-    known_as = pairs.schema["a"].dataType.simpleString()
-    return pairs.select("a", "b", "left", "right").mapInArrow(run, f"a {known_as}, b {known_as}")
+    A bit is equal if the minima are, and else by even chance. The number of bits that differ is
+    compared with its expectation at the limit and ``DEVIATIONS`` standard deviations more.
+    """
+    equal = (1 + percent / 100.0) / 2
+    most = MINIMA * (1 - equal) + DEVIATIONS * (MINIMA * equal * (1 - equal)) ** 0.5
+    differing = F.lit(0)
+    for word in range(MINIMA // 64):
+        differing = differing + F.bit_count(left[word].bitwiseXOR(right[word]))
+    return differing <= F.lit(int(most))
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -147,14 +148,14 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def confirmed(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full sets have the similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = stored(full_sets(docs, stored(ids, "pair-ids")), "pair-sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = []
-            for left, right in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+            for left, right in zip(batch.column(2), batch.column(3), strict=True):  # without copies
+                a, b = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 near.append(100 * common >= percent * (len(a) + len(b) - common))
             yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
@@ -226,7 +227,8 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         )
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return confirmed(docs, stored(alike(with_signatures(pairs), percent), "pairs"), percent)
+        near = with_signatures(pairs).where(alike(F.col("left"), F.col("right"), percent))
+        return confirmed(docs, stored(near.select("a", "b"), "pairs"), percent)
 
     # Each member with the leader that it shares most bands with, then with those still apart from it.
     shares = buckets.where("id > leader").groupBy("leader", "id").agg(F.count(F.lit(1)).alias("n"))
@@ -251,6 +253,7 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     several = stored(
         apart.join(largest, F.col("key") == F.col("of_key"))
         .select("key", "id", "root", (F.col("root") == F.col("largest")).alias("bulk"))
+        .join(apart.groupBy("id").agg(F.collect_list("key").alias("keys")), "id")
         .join(signatures, "id"),
         "several",
     )
@@ -259,11 +262,12 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         rest,
         (F.col("f.key") == F.col("r.key"))
         & (F.col("f.root") != F.col("r.root"))
-        & (F.col("r.bulk") | (F.col("r.id") > F.col("f.id"))),
-    ).select(
-        F.col("f.id").alias("a"), F.col("r.id").alias("b"), F.col("f.signature").alias("left"), F.col("r.signature").alias("right")
+        & (F.col("r.bulk") | (F.col("r.id") > F.col("f.id")))
+        & alike(F.col("f.signature"), F.col("r.signature"), percent)
+        # A pair in several buckets counts in one of them.
+        & (F.array_min(F.array_intersect("f.keys", "r.keys")) == F.col("f.key")),
     )
-    more = stored(alike(crossing, percent).distinct(), "crossing")
+    more = stored(crossing.select(F.col("f.id").alias("a"), F.col("r.id").alias("b")).distinct(), "crossing")
     if not more.isEmpty():
         component = components(confirmed(docs, more, percent).unionByName(_as_links(component)))
 
