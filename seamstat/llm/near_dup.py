@@ -4,7 +4,7 @@ A document's set holds its distinct shingles of five words. Two documents are li
 Jaccard similarity of their sets is at least 0.75, and groups are what links connect.
 
 1. Each text gives its set's size, a digest of the whole set, ``BANDS`` keys of ``ROWS`` minima
-   each under universal hash functions, and the lowest bits of ``MINIMA`` minima as a signature.
+   each under universal hash functions, and a mixed bit of each of ``MINIMA`` minima as a signature.
    Documents with equal digests have similarity 1; only the smallest of them goes on.
 2. Documents that share a band key form a bucket, led by its smallest. Every member is compared
    with the leader it shares most bands with: by signature, which drops a pair only when 3.5
@@ -84,9 +84,13 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def packed(least: np.ndarray) -> np.ndarray:
-    """The lowest bit of all minima, in 64-bit words."""
-    low = (least & 1).astype(np.uint64).reshape(len(least), -1, 64)
-    return (low << np.arange(64, dtype=np.uint64)).sum(2, dtype=np.uint64).view(np.int64)
+    """One bit of each minimum, in 64-bit words.
+
+    The bit comes from a mix of the whole minimum: its own lowest bit is the same for a shingle
+    under every function, as the factors are odd.
+    """
+    bits = (mixed(least.astype(np.uint64)) >> np.uint64(63)).reshape(len(least), -1, 64)
+    return (bits << np.arange(64, dtype=np.uint64)).sum(2, dtype=np.uint64).view(np.int64)
 
 
 def signed(docs: DataFrame) -> DataFrame:
