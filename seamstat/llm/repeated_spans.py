@@ -1,12 +1,19 @@
-"""Substring deduplication over sliding spans of sentences.
+"""Substring deduplication over sliding spans of sentences and of words.
 
 A sentence ends after ``.``, ``!``, ``?`` or ``…`` before white space, and at a line break. One of
-over ``LONG`` words is cut again after every word whose checksum is divisible by ``CUT``, so that a
-passage inside it is cut alike wherever it begins. At each sentence begins one span: the shortest
-run of sentences with at least ``SENTENCES`` sentences and ``WORDS`` words; the last such run also counts
-extended to the end of the text. Spans are compared by a
-64-bit hash of their lower-cased words. The first of equal spans, by document id and place, stays;
-every sentence that another of them covers is removed.
+over ``LONG`` words is cut again after every word whose checksum is divisible by ``CUT``.
+
+1. At each sentence begins one span: the shortest run of sentences with at least ``SENTENCES``
+   sentences and ``WORDS`` words; the last such run also counts extended to the end of the text.
+   Besides, of every ``NEAR`` consecutive windows of ``WORDS`` words the one with the least hash is an
+   anchor, and what lies between two anchors is a span with them. So any passage of
+   ``WORDS + NEAR - 1`` = 51 words holds an anchor, wherever it begins and whatever stands around it.
+2. All windows of ``WORDS`` words that begin less than ``NEAR`` words from a repeated span are compared
+   too, so that a repeated passage is covered to its first and last word.
+
+Spans and windows are compared by a 64-bit hash of their lower-cased words. The first of equal ones,
+by document id and place, stays; every word that another of them covers is removed. Every window of
+a repeated passage of 51 words or more is found; a shorter passage only if it holds a repeated span.
 
 Defined results
     A null text stays null and has no sentence. Blank stretches belong to the sentence before them.
@@ -15,7 +22,8 @@ Defined results
     ``remove`` and may have any names that do not start with ``__span_``.
 
 Scale
-    Spans are reduced to the first of each hash before a join, with a combine before the shuffle. A
+    Windows are made near repeated spans only, and not where a later one covers them already. Both
+    are reduced to the first of each hash before a join, with a combine before the shuffle. A
     passage in a third of all documents is a skewed join key, which adaptive execution splits. Only
     the places inside one document meet in one row.
 """
@@ -24,25 +32,37 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seamstat.llm.shingles import mixed
 from seamstat.sources.scratch import stored
 
 SENTENCES = 2
 WORDS = 16
 LONG = 24
 CUT = 8
+NEAR = 36
 
 END = re.compile(r"(?:[.!?…]+(?=\s)|\n)\s*")
 WORD = re.compile(r"\S+\s*")
 
+_PLACE = np.random.default_rng(11).integers(0, 2**63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
+
 
 def sentences(text: str) -> list[tuple[int, str, int]]:
+    """(end, lower-cased word, 1) of the smallest pieces that are kept or removed, which cover the text."""
+    words = text.lower().split()
+    starts = [m.start() for m in WORD.finditer(text)]
+    return [(end, word, 1) for end, word in zip([*starts[1:], len(text)], words, strict=True)] if words else []
+
+
+def whole_sentences(text: str) -> list[tuple[int, str, int]]:
     """(end, lower-cased words, number of words) of the sentences, which cover the text."""
     found: list[tuple[int, str, int]] = []
     start = 0
@@ -86,34 +106,88 @@ def spans(found: list[tuple[int, str, int]]) -> Iterator[tuple[int, int, int]]:
         words -= found[first][2]
 
 
-def span_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(hash, doc_id, run) of all spans; run holds the first sentence in its upper half, the last in its lower."""
+def windows(words: list[str]) -> np.ndarray:
+    """Hash of the ``WORDS`` words that begin at each word."""
+    codes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    n = max(len(words) - WORDS + 1, 0)
+    sums = np.zeros(n, np.uint64)
+    for place in range(WORDS):
+        sums += codes[place : place + n] * _PLACE[place]
+    return mixed(sums)
+
+
+def _slide(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """The least or greatest of each ``width`` consecutive values."""
+    size = 1
+    while size < width:
+        step = min(size, width - size)
+        values = pick(values[:-step], values[step:])
+        size += step
+    return values
+
+
+def anchors(hashes: np.ndarray) -> np.ndarray:
+    """Places of the least of any ``NEAR`` consecutive hashes, or of all if they are fewer."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    width = min(NEAR, len(hashes))
+    least = np.pad(_slide(hashes, width, np.minimum), width - 1)
+    return np.flatnonzero(_slide(least, width, np.maximum) == hashes)
+
+
+def _spans_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, runs) of the spans of sentences, the anchors and the stretches between anchors."""
+    found = whole_sentences(text)
+    first_word = np.cumsum([0, *[s[2] for s in found]])
+    of_sentences = [(value, int(first_word[a]) << 32 | int(first_word[b + 1])) for value, a, b in spans(found)]
+    hashes = windows(text.lower().split())
+    at = anchors(hashes)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes, dtype=np.uint64)])
+    between = mixed(sums[at[1:] + 1] - sums[at[:-1]] + (at[1:] - at[:-1]).astype(np.uint64))
+    values = np.concatenate([np.array([v for v, _ in of_sentences], np.uint64), hashes[at], between])
+    runs = np.concatenate([np.array([r for _, r in of_sentences], np.int64), at << 32 | at + WORDS, at[:-1] << 32 | at[1:] + WORDS])
+    return values.view(np.int64), runs
+
+
+def _windows_near(text: str, found: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, runs) of the windows near repeated spans that are not within a later one."""
+    hashes = windows(text.lower().split())
+    near = np.zeros(len(hashes), bool)
+    ranges = [(s["run"] >> 32, s["run"] & 0xFFFFFFFF, s["later"]) for s in found]
+    for first, last, _ in ranges:
+        near[max(first - NEAR + 1, 0) : last - WORDS + NEAR] = True
+    for first, last, later in ranges:
+        if later:
+            near[first : last - WORDS + 1] = False
+    at = np.flatnonzero(near)
+    return hashes[at].view(np.int64), at << 32 | at + WORDS
+
+
+def _table(docs: DataFrame, key: str, make: Callable[..., tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(hash, doc_id, run) of what ``make`` finds in the columns after the key."""
     known_as = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, rows, runs = [], [], []
-            for row, content in enumerate(batch.column(1).to_pylist()):
-                for value, first, last in spans(sentences(content)):
-                    hashes.append(value - (1 << 63))
-                    rows.append(row)
-                    runs.append(first << 32 | last)
+            made = [make(*row) for row in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True)]
+            if not made:
+                continue
+            rows = np.repeat(np.arange(len(made)), [len(hashes) for hashes, _ in made])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(hashes, pa.int64()),
+                    pa.array(np.concatenate([hashes for hashes, _ in made])),
                     batch.column(0).take(pa.array(rows, pa.int64())),
-                    pa.array(runs, pa.int64()),
+                    pa.array(np.concatenate([runs for _, runs in made])),
                 ],
                 ["hash", "doc_id", "run"],
             )
 
-    known = docs.select(key, text).where(F.col(key).isNotNull() & F.col(text).isNotNull())
-    return known.mapInArrow(run, f"hash bigint, doc_id {known_as}, run bigint")
+    return docs.mapInArrow(run, f"hash bigint, doc_id {known_as}, run bigint")
 
 
-def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, spans): the run of every repeated span, and whether it is a later one of its kind."""
-    every = stored(span_table(docs, key, text), "spans")
+def _repeated(made: DataFrame, name: str) -> DataFrame:
+    """(doc_id, run, later) of every repeated hash: the run, and whether it is not the first of its kind."""
+    every = stored(made, name)
     place = F.struct("doc_id", "run")
     # Written, because a join with a grouped table itself could not split a frequent passage.
     several = stored(
@@ -123,15 +197,32 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         .select("of", "earliest"),
         "several",
     )
-    found = every.join(several, F.col("hash") == F.col("of")).withColumn("later", place != F.col("earliest"))
+    found = every.join(several, F.col("hash") == F.col("of"))
+    return found.select("doc_id", "run", (place != F.col("earliest")).alias("later"))
+
+
+def _by_document(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id").agg(F.collect_set(F.struct("run", "later")).alias("spans"))
 
 
+def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, spans): the words of every repeated span or window, and whether it is a later one of its kind.
+
+    A run holds its first word in its upper half, the word after its last in its lower.
+    """
+    known = docs.select(key, text).where(F.col(key).isNotNull() & F.col(text).isNotNull())
+    found = stored(_repeated(_table(known, key, _spans_of), "spans"), "found")
+    marks = stored(_by_document(found), "marks").select(F.col("doc_id").alias("__span_id"), F.col("spans").alias("__span_found"))
+    marked = known.join(marks, F.col(key) == F.col("__span_id")).select(key, text, "__span_found")
+    more = _repeated(_table(marked, key, _windows_near), "windows")
+    return _by_document(found.unionByName(more))
+
+
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows with the text that stays, and three counts after the other columns.
 
-    n_sentences counts the sentences, n_repeated those in any repeated span, n_removed those in
-    one that is not the first of its kind.
+    n_sentences counts the sentences, n_repeated those with a word in any repeated span, n_removed
+    those with a word in one that is not the first of its kind.
     """
     marks = stored(repeated(docs, key, text), "repeated").select(
         F.col("doc_id").alias("__span_id"), F.col("spans").alias("__span_found")
@@ -143,16 +234,18 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         for batch in batches:
             texts, counts, again, gone = [], [], [], []
             for content, found in zip(batch.column(at).to_pylist(), batch.column("__span_found").to_pylist(), strict=True):
-                parts = sentences(content or "")
-                ranges = [(range(s["run"] >> 32, min((s["run"] & 0xFFFFFFFF) + 1, len(parts))), s["later"]) for s in found or ()]
-                covered = {i for places, later in ranges if later for i in places}
-                starts = [0, *[end for end, _, _ in parts]]
-                if covered:
-                    content = "".join(content[starts[i] : starts[i + 1]] for i in range(len(parts)) if i not in covered)
+                whole, parts = whole_sentences(content or ""), sentences(content or "")
+                covered = np.zeros((2, len(parts)), bool)  # by any span, by a later one
+                for s in found or ():
+                    covered[: 1 + s["later"], s["run"] >> 32 : s["run"] & 0xFFFFFFFF] = True
+                if covered[1].any():
+                    starts = [0, *[end for end, _, _ in parts]]
+                    content = "".join([content[starts[i] : starts[i + 1]] for i in np.flatnonzero(~covered[1])])
                 texts.append(content)
-                counts.append(len(parts))
-                again.append(len({i for places, _ in ranges for i in places}))
-                gone.append(len(covered))
+                counts.append(len(whole))
+                touched = np.add.reduceat(covered, np.cumsum([0, *[s[2] for s in whole[:-1]]]), 1) if whole else covered
+                again.append(int((touched[0] > 0).sum()))
+                gone.append(int((touched[1] > 0).sum()))
             columns = batch.columns[:-1]
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(

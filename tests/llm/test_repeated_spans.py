@@ -72,3 +72,21 @@ def test_sentences_cover_the_text():
 
 def test_empty_table(spark):
     assert rs.remove(spark.createDataFrame([], DOC)).collect() == []
+
+
+def test_passages_inside_other_text_go_whole(spark):
+    """A passage of 51 words at a random word of two documents, in sentences of any length and without ends."""
+    draw = random.Random(21)
+
+    def text(n):
+        return [f"{draw.randrange(10**9)}{draw.choice(['', '', '', '', '.', '.&&&'])}" for _ in range(n)]
+
+    rows, want = [], {}
+    for k in range(150):
+        passage = text(51)
+        for doc in (2 * k, 2 * k + 1):
+            own, at = text(200), draw.randrange(201)
+            rows.append((doc, " ".join([*own[:at], *passage, *own[at:]]), 1, 2, "h"))
+            want[doc] = own if doc % 2 else [*own[:at], *passage, *own[at:]]
+    got = {r["doc_id"]: r["text"].split() for r in rs.remove(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == want
