@@ -1,11 +1,12 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped to lines: every block element is a line of its own. Elements that never hold
-the article (scripts, menus, forms, page headers and footers, sidebars, adverts, notices, reader
-comments) leave a gap of empty lines. Text lengths are summed over windows of ``WINDOW`` lines. A
+Markup is stripped to lines: every block element is a line of its own. Elements that stand around
+an article (menus, page headers and footers, sidebars, reader comments) leave a gap of empty lines;
+those that also stand within one (scripts, forms, asides, adverts, notices) leave none. A class or
+id counts by a whole token or its last part. Text lengths are summed over windows of ``WINDOW`` lines. A
 region begins where a sum surges above zero and ends where it dives to zero again, and is kept if
-a sum in it reaches ``SURGE`` characters, or if the page marks it as its article. If no region
-reaches that, the one with the highest sum is kept.
+a sum in it reaches ``SURGE`` characters or it lies between two that are kept, or if the page marks
+it as its article. If no region reaches that, the one with the highest sum is kept.
 
 Defined results
     A null or empty page has the empty text and no characters. Character references are decoded
@@ -53,6 +54,16 @@ BOILERPLATE = set(
     " related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription"
     " teaser toolbar widget".split()
 )
+AROUND = set(
+    "nav header footer menu head banner breadcrumb breadcrumbs comment comments copyright disqus masthead menus navbar"
+    " navigation pager pagination replies respond sidebar skip toolbar contentinfo complementary search menubar".split()
+)  # elements, names and roles that end a region
+STATES = set("has with no without is".split())  # has-sidebar says something of an element that is no sidebar
+NEUTRAL = set(
+    "area bar block body bottom box button buttons container content first form group icons inner item items last left"
+    " link links list main message middle outer panel posts primary right secondary section slot text top unit wrap wrapper"
+    " x".split()
+)  # last parts that leave the name to the part before: adBox, sidebar-left
 BOILERPLATE_ROLES = set("navigation banner contentinfo complementary search form menu menubar alert dialog toolbar".split())
 ARTICLE_NAMES = {"articlebody"}
 
@@ -94,14 +105,14 @@ class Stripper:
         if not self.articles:
             self.lines += [Line("", 0, False)] * WINDOW
 
-    def skip(self, name: str) -> None:
-        self.gap()
+    def skip(self, name: str, around: bool) -> None:
+        self.gap() if around else self.end_line()
         self.skipped, self.depth = name, 1
 
     def opened(self, name: str, attributes: str) -> None:
         marked = _marks(name, attributes)
         if self.skipped:
-            if name in ARTICLE and self.skipped not in ARTICLE and marked != "out":
+            if name in ARTICLE and self.skipped not in ARTICLE and marked in ("", "in"):
                 self.skipped = ""
             elif name == "body" and self.skipped == "head":
                 self.skipped = ""
@@ -113,8 +124,8 @@ class Stripper:
             self.end_line()
         if name in VOID:
             return
-        if marked == "out" and not (name == "header" and self.articles):
-            self.skip(name)
+        if marked in ("out", "around") and not (name == "header" and self.articles):
+            self.skip(name, marked == "around")
         elif marked == "in":
             self.articles.append(name)
             self.depths.append(1)
@@ -148,21 +159,40 @@ class Stripper:
                 self.depths.pop()
 
 
+def _called(token: str) -> str:
+    """The name of a class or id: the whole of it, or its last part that is not neutral."""
+    if token.lower() in BOILERPLATE:
+        return token.lower()
+    parts = NAME_WORDS.findall(CAMEL.sub(" ", token).lower())
+    if not parts or parts[0] in STATES:
+        return ""
+    while len(parts) > 1 and (parts[-1] in NEUTRAL or parts[-1].isdigit()):
+        parts.pop()
+    return parts[-1]
+
+
 def _marks(name: str, attributes: str) -> str:
-    """Whether an element is the article (in), never part of it (out), or neither."""
+    """Whether an element is the article (in), never part of it (out, or around it), or neither."""
     given = {}
     for key, value in ATTRIBUTE.findall(attributes) if attributes.strip(" /") else ():
         given.setdefault(key.lower(), value.strip("\"'"))
-    names = f"{given.get('class', '')} {given.get('id', '')}"
-    words = set(NAME_WORDS.findall(CAMEL.sub(" ", names).lower()))
+    classes = given.get("class", "").split()
+    names = {_called(token) for token in [*classes, *given.get("id", "").split()]} & BOILERPLATE
     roles = set(given.get("role", "").lower().split())
     hidden = "hidden" in given or given.get("aria-hidden", "").lower() == "true"
     hidden = hidden or "display:none" in given.get("style", "").replace(" ", "").lower()
     if name in ("html", "body"):
         return ""
-    if name in LEFT_OUT or hidden or words & BOILERPLATE or roles & BOILERPLATE_ROLES:
+    if hidden:
         return "out"
-    if name in ARTICLE or "main" in roles or given.get("itemprop", "").lower() in ARTICLE_NAMES:
+    if name == "main" or "main" in roles or given.get("itemprop", "").lower() in ARTICLE_NAMES:
+        return "in"
+    if name in ARTICLE:
+        names = {token.lower() for token in classes} & BOILERPLATE
+    found = names | roles & BOILERPLATE_ROLES | {name} & LEFT_OUT
+    if found:
+        return "around" if found & AROUND else "out"
+    if name in ARTICLE:
         return "in"
     return ""
 
@@ -206,14 +236,9 @@ def main_text(page: str | None) -> str:
     surges, dives = np.flatnonzero(full[1:] & ~full[:-1]), np.flatnonzero(full[:-1] & ~full[1:])
     highest = [int(sums[a:b].max()) for a, b in zip(surges, dives, strict=True)]
     least = 1 if marked else min(SURGE, max(highest))
-    kept = [
-        line.text
-        for a, b, high in zip(surges, dives, highest, strict=True)
-        if high >= least
-        for line, size in zip(lines[a:b], sizes[a:b], strict=False)
-        if size
-    ]
-    return " ".join(kept)
+    high = np.flatnonzero(np.array(highest) >= least)
+    first, last = surges[high[0]], dives[high[-1]]
+    return " ".join(line.text for line, size in zip(lines[first:last], sizes[first:last], strict=True) if size)
 
 
 def extract(pages: DataFrame) -> DataFrame:

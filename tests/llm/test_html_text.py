@@ -53,3 +53,19 @@ def test_table_edges(spark):
     got = [tuple(r) for r in html_text.extract(spark.createDataFrame(rows, schema)).collect()]
     assert got == [(1, None, "", 0), (None, "u", "", 0), (2, "u", "a", 1), (2, "u", "a", 1)]
     assert html_text.extract(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_text_between_adverts_on_unmarked_pages():
+    closing = "A closing sentence of about sixty characters after the advert."
+    advert = "<div class=ad>Buy now</div>"
+    assert main_text(f"<div>{PARAGRAPH}</div>{advert}<p>{closing}</p>") == f"{PARAGRAPH} {closing}"
+    inner = f"<form>Mail</form><h2>Head</h2><aside>Aside</aside><p>Short.</p>{advert}"
+    assert main_text(f"<div><p>{PARAGRAPH}</p>{advert}{inner}<p>{closing}</p></div>") == f"{PARAGRAPH} Head Short. {closing}"
+    assert main_text(f"<p>{PARAGRAPH}</p><nav>n</nav><p>Short.</p><nav>n</nav><p>{PARAGRAPH}</p>") == f"{PARAGRAPH} Short. {PARAGRAPH}"
+
+
+def test_names_that_only_mention_boilerplate():
+    for tag in ('article class="post comments-open"', 'div id="content" class="has-sidebar"', 'main class="menu"', 'div class="no-comments"'):
+        assert main_text(f"<{tag}><p>{PARAGRAPH}</p></{tag.split()[0]}>") == PARAGRAPH
+    for name in ("sidebar-left", "adBox", "cookie-notice", "post-comments", "ad-300x250", "navBar"):
+        assert main_text(f'<p>{PARAGRAPH}</p><div class="{name}"><p>{PARAGRAPH}</p></div>') == PARAGRAPH
