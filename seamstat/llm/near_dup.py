@@ -51,6 +51,7 @@ MINIMA = 1024  # hash functions; the bands use the first BANDS * ROWS
 PERCENT = 75
 DEVIATIONS = 3.5
 ELEMENTS_AT_ONCE = 1 << 15
+SETS_AT_ONCE = 512  # whose minima are held at one time
 
 _random = np.random.default_rng(17)
 _FACTORS = _random.integers(0, 2**31, MINIMA, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -58,6 +59,13 @@ _SHIFTS = _random.integers(0, 2**32, MINIMA, np.uint32)
 _IN_BAND = _random.integers(0, 2**63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def minima(sets: list[np.ndarray]) -> np.ndarray:
     """(sets, hash functions): the least hash of each set under each function; sets are not empty."""
     out = np.empty((len(sets), len(_FACTORS)), np.uint32)
@@ -89,8 +97,8 @@ def packed(least: np.ndarray) -> np.ndarray:
     The bit comes from a mix of the whole minimum: its own lowest bit is the same for a shingle
     under every function, as the factors are odd.
     """
-    bits = (mixed(least.astype(np.uint64)) >> np.uint64(63)).reshape(len(least), -1, 64)
-    return (bits << np.arange(64, dtype=np.uint64)).sum(2, dtype=np.uint64).view(np.int64)
+    bits = mixed(least.astype(np.uint64)) >> np.uint64(63)
+    return np.packbits(bits.astype(bool), axis=1, bitorder="little").view(np.int64)
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -98,7 +106,7 @@ def signed(docs: DataFrame) -> DataFrame:
     known_as = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, SETS_AT_ONCE):
             sets = list(shingle_sets(batch.column(1).to_pylist()))
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             full = np.flatnonzero(sizes)
@@ -142,7 +150,7 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     known_as = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, SETS_AT_ONCE):
             packed = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "shingles"])
 

@@ -118,3 +118,20 @@ def test_short_near_copies_equal_brute_force(spark):
     assert sum(component[i] != i for i in texts) == 300
     missed = [r["doc_id"] for r in got if r["component_id"] != component[r["doc_id"]]]
     assert len(missed) <= 1  # 5e-4 of the pairs at exactly 0.75
+
+
+def test_batches_of_blank_texts(spark):
+    """A table, and one partition among several, whose texts are all blank."""
+    blank = spark.createDataFrame([(1, None, ""), (2, " \n", ""), (3, "", "")], DOC)
+    want = [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True)]
+    assert sorted(map(tuple, near_dup.groups(blank).collect())) == want
+    more = spark.createDataFrame([(4, "a b c d e f", ""), (5, "A b c d e f", "")], DOC)
+    got = sorted(map(tuple, near_dup.groups(blank.coalesce(1).union(more)).collect()))
+    assert got == [*want, (4, 2, 4, True), (5, 2, 4, False)]
+
+
+def test_signatures_do_not_depend_on_the_slices():
+    sets = [np.unique(np.random.default_rng(i).integers(0, 2**64, 5 + i, np.uint64)) for i in range(30)]
+    whole = near_dup.packed(near_dup.minima(sets))
+    assert whole.shape == (30, near_dup.MINIMA // 64)
+    assert (whole == np.concatenate([near_dup.packed(near_dup.minima(sets[i : i + 7])) for i in range(0, 30, 7)])).all()
