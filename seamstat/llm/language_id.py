@@ -42,10 +42,12 @@ UNKNOWN_LANGUAGE = "und"
 WORD_START = "▁"
 LONGEST = 32
 SMOOTHING = 0.01
-REMEMBERED_WORDS = 200_000
+REMEMBERED_BYTES = 24 << 20  # of words and their scores, in each worker
+WORD_BYTES = 120  # of a dictionary's entry with its key, beside the letters
 WORDS_AT_ONCE = 4_000
-CHARS_AT_ONCE = 1_000_000
-LETTERS = re.compile(r"[^\W\d_]+")
+CHARS_AT_ONCE = 250_000
+#: Runs of word characters that are neither digits nor underscores; number signs such as ``²`` are among them.
+RUNS = re.compile(r"[^\W\d_]+")
 FOLDS = 5
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -53,8 +55,10 @@ _SLOTS = 1 << 17
 
 
 def words_of(text: str) -> list[str]:
-    found = LETTERS.findall(text.lower())
-    if not any(map(str.isalpha, found)):
+    found = RUNS.findall(text.lower())
+    if not all(map(str.isalpha, found)):
+        found = "".join([c if c.isalpha() else " " for run in found for c in [*run, " "]]).split()
+    if not found:
         return []
     if max(map(len, found)) <= LONGEST:
         return found
@@ -65,7 +69,7 @@ class Pieces:
     """A hash table from substrings of a fixed vocabulary to their ids."""
 
     def __init__(self, pieces: list[str]) -> None:
-        self.pieces = sorted({p for p in pieces if p and LETTERS.fullmatch(p.lstrip(WORD_START) or "a")})
+        self.pieces = sorted({p for p in pieces if p and RUNS.fullmatch(p.lstrip(WORD_START) or "a")})
         self.unknown, self.absent = len(self.pieces), len(self.pieces) + 1
         self.longest = max(map(len, self.pieces), default=1)
         self.keys = np.zeros(_SLOTS, np.uint64)
@@ -190,8 +194,9 @@ class LanguageModel:
         fresh = {w for words in documents for w in words if w not in self.known}
         if not fresh:
             return
-        if len(self.known) + len(fresh) > REMEMBERED_WORDS:
-            self.known, self.logs = {}, self.logs[:0]
+        each = WORD_BYTES + 8 * len(self.languages)
+        if (len(self.known) + len(fresh)) * each > REMEMBERED_BYTES:
+            self.known, self.logs = {}, np.zeros((0, len(self.languages)))
             fresh = {w for words in documents for w in words}
         listed = sorted(fresh)
         self.known.update(zip(listed, range(len(self.known), len(self.known) + len(listed)), strict=True))

@@ -87,6 +87,11 @@ def test_empty_table_and_nothing_to_learn(spark):
 def test_words_beyond_the_remembered_number(trained, monkeypatch):
     texts = [f"the of and {'ab' * (i % 7 + 1)}" for i in range(50)]
     whole = trained.score(texts)
-    monkeypatch.setattr(li, "REMEMBERED_WORDS", 3)
+    monkeypatch.setattr(li, "REMEMBERED_BYTES", 300)
     monkeypatch.setattr(li, "CHARS_AT_ONCE", 40)
     assert trained.score(texts) == whole
+
+
+def test_number_signs_are_no_letters_but_hide_none():
+    assert li.words_of("m² ²a ½cup ab²cd Ⅷ 12 _x_") == ["m", "a", "cup", "ab", "cd", "x"]
+    assert li.words_of("² ½ 34 !") == []
