@@ -18,6 +18,7 @@ from seamstat.llm import (
     repeated_spans,
     secret_scan,
     sentencepiece_backend,
+    token_alignment,
     url_rules,
 )
 from seamstat.llm.sql import SQL
@@ -104,4 +105,10 @@ def op9_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return nearest.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+@query
+def op11_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return token_alignment.alignment(docs, token_alignment.Aligner.load())
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
