@@ -20,6 +20,7 @@ from seamstat.llm import (
     sentencepiece_backend,
     token_alignment,
     url_rules,
+    warc,
 )
 from seamstat.llm.sql import SQL
 
@@ -111,4 +112,9 @@ def op11_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return token_alignment.alignment(docs, token_alignment.Aligner.load())
 
 
+@query
+def op12_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.archived(table(spark, sf, "pages"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run

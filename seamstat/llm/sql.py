@@ -33,3 +33,15 @@ SELECT page_id, host, path, rule_host || rule_path AS rule, coalesce(verdict, 'a
 FROM u LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
 QUALIFY row_number() OVER (PARTITION BY n ORDER BY length(rule_host || rule_path) DESC NULLS LAST, verdict DESC) = 1
 """
+
+SQL["op12_warc"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, sha1(payload) AS hex, min(page_id) OVER (PARTITION BY payload) AS first FROM p),
+r AS (SELECT *, first IS NOT NULL AND page_id IS DISTINCT FROM first AS again FROM d)
+SELECT page_id, payload_bytes,
+    list_aggregate(list_transform(range(8), lambda i: list_aggregate(list_transform([15, 10, 5, 0],
+        lambda shift: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(hex, 5 * i + 1, 5))::BIGINT >> shift) & 31) + 1)::BIGINT, 1)),
+        'string_agg', '')), 'string_agg', '') AS payload_digest,
+    CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to,
+    CASE WHEN NOT again THEN true END AS intact FROM r
+"""
