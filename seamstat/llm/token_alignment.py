@@ -50,7 +50,7 @@ from seamstat.sources.scratch import stored
 
 BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-CHARS_AT_ONCE = 1_500_000
+CHARS_AT_ONCE = 600_000
 DOCS_AT_ONCE = 4_000
 MARKER = "▁"
 
