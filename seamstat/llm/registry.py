@@ -15,6 +15,7 @@ from seamstat.llm import (
     mixing,
     near_dup,
     nearest,
+    phrases,
     repeated_spans,
     secret_scan,
     sentencepiece_backend,
@@ -117,4 +118,9 @@ def op12_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.archived(table(spark, sf, "pages"))
 
 
+@query
+def op13_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents").select("lang", "text"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run

@@ -45,3 +45,28 @@ SELECT page_id, payload_bytes,
     CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to,
     CASE WHEN NOT again THEN true END AS intact FROM r
 """
+
+SQL["op13_phrases"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+q AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM p),
+f1 AS (SELECT lang, w, count(*) AS f FROM (SELECT lang, unnest(ws) AS w FROM q) GROUP BY ALL),
+f2 AS (SELECT lang, w, count(*) AS f FROM (SELECT lang, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS w FROM q)
+    GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, w, count(*) AS f FROM (SELECT lang, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS w FROM q)
+    GROUP BY ALL HAVING count(*) >= 10),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang),
+t AS (SELECT lang, w, f, split_part(w, ' ', 1) AS a, split_part(w, ' ', 2) AS b, split_part(w, ' ', 3) AS c FROM f3),
+inside AS (SELECT lang, w, max(f) AS most FROM (SELECT lang, a || ' ' || b AS w, f FROM t UNION ALL SELECT lang, b || ' ' || c, f FROM t) GROUP BY ALL),
+two AS (SELECT f2.lang, f2.w AS phrase, f2.f AS a, x.f AS l, y.f AS r FROM f2
+    JOIN f1 x ON x.lang = f2.lang AND x.w = split_part(f2.w, ' ', 1) JOIN f1 y ON y.lang = f2.lang AND y.w = split_part(f2.w, ' ', 2)
+    LEFT JOIN inside i ON i.lang = f2.lang AND i.w = f2.w WHERE i.most IS NULL OR 100 * i.most < 50 * f2.f),
+three AS (SELECT t.lang, t.w AS phrase, t.f AS a, x.f AS l1, yz.f AS r1, xy.f AS l2, z.f AS r2 FROM t
+    JOIN f1 x ON x.lang = t.lang AND x.w = t.a JOIN f1 z ON z.lang = t.lang AND z.w = t.c
+    JOIN f2 xy ON xy.lang = t.lang AND xy.w = t.a || ' ' || t.b JOIN f2 yz ON yz.lang = t.lang AND yz.w = t.b || ' ' || t.c),
+cut AS (SELECT *, (1000000::HUGEINT * a * a) // (l1::HUGEINT * r1) AS s1, (1000000::HUGEINT * a * a) // (l2::HUGEINT * r2) AS s2 FROM three),
+every AS (SELECT lang, phrase, a, l, r, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM two
+    UNION ALL SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2)::BIGINT FROM cut),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM every)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
