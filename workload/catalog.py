@@ -264,6 +264,13 @@ def batch_score(spark: SparkSession, sf: str) -> DataFrame:
     return sc.batch_score(raw, model)
 
 
+@query
+def fit_certificate(spark: SparkSession, sf: str) -> DataFrame:
+    """Train the full model and compare the gradient of every column with the solver's tolerance."""
+    model, _ = tr.train_and_evaluate(dv.reviews(spark, sf))
+    return tr.certificate(model).select("block", "columns", "settled")
+
+
 @query
 def batch_score_linear(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(sc.batch_score(dv.reviews(spark, sf), scorer))

@@ -530,16 +530,28 @@ raw AS (SELECT review_id, term, tf * (ln((1 + (SELECT count(*) FROM augmented)):
 norms AS (SELECT review_id, sqrt(sum(w * w)) AS norm FROM raw GROUP BY review_id)""",
     f"SELECT review_id, term, {rd('w / norm', 'weight')} FROM raw JOIN norms USING (review_id)",
 )
-define(
-    "stratified_split",
-    CLEANED + """,
+SPLIT = CLEANED + """,
 counts AS (SELECT "Recommended IND" AS y, count(*) AS c FROM cleaned GROUP BY 1),
 totals AS (SELECT sum(c)::BIGINT AS n, sum(c)::BIGINT - CAST(ceil(0.2::DOUBLE * sum(c)) AS BIGINT) AS train FROM counts),
 shares AS (SELECT y, c, c * train // n AS base, row_number() OVER (ORDER BY c * train % n DESC, y) AS place, train FROM counts, totals),
 quotas AS (SELECT y, c - base - CASE WHEN place <= train - (SELECT sum(base) FROM shares) THEN 1 ELSE 0 END AS quota FROM shares),
-placed AS (SELECT review_id, "Recommended IND", row_number() OVER (PARTITION BY "Recommended IND" ORDER BY md5('42:' || review_id), review_id) AS place FROM cleaned)""",
-    """SELECT review_id, "Recommended IND", CASE WHEN place <= quota THEN 'test' ELSE 'train' END AS split
-FROM placed JOIN quotas ON y = "Recommended IND" """,
+placed AS (SELECT review_id, "Recommended IND", row_number() OVER (PARTITION BY "Recommended IND" ORDER BY md5('42:' || review_id), review_id) AS place FROM cleaned),
+parts AS (SELECT review_id, "Recommended IND", CASE WHEN place <= quota THEN 'test' ELSE 'train' END AS split
+  FROM placed JOIN quotas ON y = "Recommended IND")"""
+define("stratified_split", SPLIT, "SELECT * FROM parts")
+VARYING = sm.CORE_NUMERIC_COLUMNS + ALL_TEXT
+define(
+    "fit_certificate",
+    SPLIT + "," + text_ctes("cleaned", "review_id", '"Title"', '"Review Text"', ALL_TEXT) + f""",
+train AS (SELECT * FROM cleaned JOIN texts USING (review_id) SEMI JOIN (SELECT review_id FROM parts WHERE split = 'train') USING (review_id)),
+kept AS (SELECT review_id, list_filter(regexp_extract_all({lower(BASE_TEXT)}, '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: w NOT IN ({lits(lex.ENGLISH_STOP_WORDS)})) AS k FROM train),
+terms AS (SELECT DISTINCT review_id, unnest(k || list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1])) AS term FROM kept),
+vocabulary AS (SELECT term FROM terms GROUP BY term HAVING count(*) >= 2 LIMIT 25000),
+numbers AS (SELECT """ + " + ".join(f"CAST(min({col(c)}) <> max({col(c)}) AS INTEGER)" for c in VARYING) + f""" AS n FROM train),
+blocks(block, n) AS (SELECT 'text', count(*) FROM vocabulary UNION ALL SELECT 'numbers', n FROM numbers
+  UNION ALL SELECT 'constants', {len(sm.NUMERIC_COLUMNS)} - n FROM numbers UNION ALL SELECT 'bias', 1
+  UNION ALL SELECT 'categories', """ + " + ".join(f"count(DISTINCT {col(c)})" for c in sm.CATEGORICAL_COLUMNS) + " FROM train)",
+    "SELECT block, n::BIGINT AS columns, n::BIGINT AS settled FROM blocks",
 )
 define(
     "class_weights",
