@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seamstat.functions.partitioning import spread
+from seamstat.sources.csv_records import read_csv_records
 
 # Spellings of a missing field in review files (case-sensitive).
 MISSING = [
@@ -31,11 +32,13 @@ def read_reviews_csv(
 ) -> DataFrame:
     """Every field as text; cleaning decides on types later, so no inference pass is needed.
 
-    A file with line breaks inside quotes can only be read from its start, by one task. Give
-    large data as many files, or set ``multi_line=False`` where no field has line breaks,
-    and Spark splits each file as well. A few files are spread over all cores once read.
+    Files may have line breaks inside quotes and are still read by many tasks each, after one pass over
+    their lines that finds out which of Spark's splits begin inside a field. Set ``multi_line=False``
+    where no field has line breaks, to save that pass. A few files are spread over all cores once read.
     """
-    reader = spark.read.options(**_QUOTING, multiLine=multi_line, enforceSchema=False)
+    if multi_line:
+        return missing_to_null(read_csv_records(spark, path))
+    reader = spark.read.options(**_QUOTING, enforceSchema=False)
     return missing_to_null(spread(reader.csv(path)))
 
 
