@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seamstat.functions.quantiles import exact_quantiles
+from seamstat.functions.quantiles import quantiles_of_counts
 from seamstat.schema import (
     AGE_BINS,
     CATEGORICAL_COLUMNS,
@@ -110,17 +110,18 @@ def department_landscape(reviews: DataFrame) -> DataFrame:
 def department_rating_box(reviews: DataFrame) -> DataFrame:
     """Rating distribution per outcome in the departments with most reviews."""
     by = ["Department Name", TARGET_COLUMN]
+    # The reviews are read once; all that follows works on counts by rating.
+    counts = reviews.groupBy(*by, "Rating").agg(F.count(F.lit(1)).alias("n"))
     top = (
-        reviews.groupBy("Department Name")
-        .agg(F.count(F.lit(1)).alias("n"))
+        counts.groupBy("Department Name")
+        .agg(F.sum("n").alias("n"))
         .orderBy(F.desc("n"), "Department Name")
         .limit(TOP_DEPARTMENTS)
         .select("Department Name")
     )
     # Broadcast of at most TOP_DEPARTMENTS names.
-    kept = reviews.select(*by, "Rating").join(F.broadcast(top), "Department Name", "left_semi")
-    counts = kept.groupBy(*by, "Rating").agg(F.count(F.lit(1)).alias("n"))
-    quartiles = exact_quantiles(kept, by, "Rating", [0.25, 0.5, 0.75])
+    counts = counts.join(F.broadcast(top), "Department Name", "left_semi")
+    quartiles = quantiles_of_counts(counts, by, "Rating", "n", [0.25, 0.5, 0.75])
     q = {p: F.max(F.when(F.col("q") == p, F.col("Rating"))) for p in (0.25, 0.5, 0.75)}
     boxes = quartiles.groupBy(*by).agg(
         q[0.25].alias("q1"), q[0.5].alias("median"), q[0.75].alias("q3")

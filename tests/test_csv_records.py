@@ -78,7 +78,7 @@ def test_blank_files_windows_ends_and_other_headers(spark, tmp_path):
 
 @pytest.mark.parametrize(
     "line, outside, inside",
-    [("a,b", False, True), ('"a', True, False), ('a","b', True, True), ('"a""', True, True), ('""', False, True), ('x"y,z', False, False),
+    [("a,b", False, True), ('"a', True, False), ('a","b', True, True), ('"a""', True, False), ('""', False, True), ('x"y,z', False, False),
      ('"a"b,"c', True, True), ('","', False, True), ("", False, True), ('a,""",', True, False)],
 )
 def test_one_line_from_either_beginning(line, outside, inside):

@@ -2,12 +2,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seamstat.functions.quantiles import exact_quantiles
+from seamstat.functions.quantiles import exact_quantiles, quantiles_of_counts
 from seamstat.operators import learning as ln
 from seamstat.operators.enrich import model_frame
 from seamstat.operators.survey import encode_survey
 from seamstat.plans.scoring import batch_score, rating_sensitivity
-from seamstat.plans.training import train
+from seamstat.functions.numbering import sorted_ranges
+from seamstat.plans.training import certificate, gradients, train
 from seamstat.schema import CATEGORICAL_COLUMNS, NUMERIC_COLUMNS, TARGET_COLUMN
 from seamstat.sources.models import load_model, save_model
 from seamstat.sources.scratch import shared_folder, stored
@@ -44,6 +45,33 @@ def test_quantiles_are_exact(spark):
         assert row["v"] == pytest.approx(np.quantile(groups[row["g"]], row["q"]), abs=1e-12)
 
 
+def test_quantiles_with_infinite_and_crowded_values(spark):
+    values = {"wide": [-np.inf, -1e308, 0.0, 5e-324, 1e308, np.inf], "near": [1 + i * 2e-16 for i in range(40)] + [1e9], None: [2.0, 4.0]}
+    frame = spark.createDataFrame([(g, float(v)) for g, some in values.items() for v in some], "g string, v double")
+    for row in exact_quantiles(frame, ["g"], "v", [0.0, 0.2, 0.5, 0.6, 1.0]).collect():
+        some, place = sorted(values[row["g"]]), (len(values[row["g"]]) - 1) * row["q"]
+        low, high = some[int(np.floor(place))], some[int(np.ceil(place))]
+        want = low if place == int(place) else low + (high - low) * (place - np.floor(place))
+        assert row["v"] == want or abs(row["v"] - want) < 1e-15
+    assert exact_quantiles(frame.limit(0), ["g"], "v", [0.5]).collect() == []
+
+
+def test_narrowing_has_windows_over_steps_only(spark):
+    """No window's rows grow with the group: the last plan reads closed brackets."""
+    frame = spark.range(50_000).selectExpr("id % 2 AS g", "sin(id) AS v")
+    plan = exact_quantiles(frame, ["g"], "v", [0.25, 0.75])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
+def test_quantiles_of_counts_equal_those_of_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 900), rng.integers(1, 6, 900))]
+    frame = spark.createDataFrame(rows, "g int, v double")
+    counts = frame.groupBy("g", "v").count()
+    for row in quantiles_of_counts(counts, ["g"], "v", "count", [0.1, 0.5, 0.75]).collect():
+        assert row["v"] == pytest.approx(np.quantile([v for g, v in rows if g == row["g"]], row["q"]), abs=1e-12)
+
+
 def quotas(frame):
     return {r[TARGET_COLUMN]: r["quota"] for r in ln.hold_out_quotas(ln.class_counts(frame), 0.2).collect()}
 
@@ -84,6 +112,63 @@ def test_split_quota_holds_for_repeated_keys(spark, keys):
     assert split.exceptAll(ln.stratified_split(frame.repartition(5))).isEmpty()
 
 
+def test_split_quota_holds_for_missing_keys(spark):
+    """A missing key is a key like any other: its rows are divided where the quota falls between them."""
+    frame = spark.range(400).select(
+        F.when(F.col("id") % 4 < 2, F.col("id")).alias("review_id"), (F.col("id") % 2).cast("int").alias(TARGET_COLUMN), F.floor(F.col("id") / 7).alias("content")
+    )
+    counts = {(r[0], r[1]): r[2] for r in ln.stratified_split(frame).groupBy(TARGET_COLUMN, "split").count().collect()}
+    assert counts == {(0, "test"): 40, (1, "test"): 40, (0, "train"): 160, (1, "train"): 160}
+
+
+def test_area_of_saturated_scores_in_even_ranges(spark):
+    """95 % of the scores lie above 0.9999: no range of scores holds much more than its share."""
+    rng = np.random.default_rng(6)
+    scores = np.where(rng.random(4_000) < 0.95, 1 - rng.random(4_000) * 1e-4, rng.random(4_000))
+    labels = (rng.random(4_000) < scores * 0.5).astype(int)
+    rows = [(float(s), int(y), 1) for s, y in zip(scores, labels)]
+    frame = spark.createDataFrame(rows, f"score double, `{TARGET_COLUMN}` int, prediction int")
+    pos, neg = scores[labels == 1], scores[labels == 0]
+    assert ln.eval_metrics(frame).first()["roc_auc"] == pytest.approx(np.mean(pos[:, None] > neg) + 0.5 * np.mean(pos[:, None] == neg), abs=1e-12)
+    sizes = [r["count"] for r in sorted_ranges(frame.select("score").distinct(), ["score"]).groupBy("range").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 4_000 / 8
+    plan = ln.eval_metrics(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "rangepartitioning(score" not in plan
+
+
+def test_positions_need_no_single_task(spark):
+    frame = spark.createDataFrame([("b", "x"), ("a", "x"), (None, "y")], "c string, d string")
+    positions = ln.category_positions(frame, ["c", "d"])
+    assert "SinglePartition" not in positions._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, positions.collect()), key=lambda r: r[2]) == [("c", "a", 0), ("c", "b", 1), ("d", "x", 2), ("d", "y", 3)]
+
+
+def test_certificate_holds_for_a_fit_and_not_for_a_stopped_one(labelled, model):
+    told = {r["block"]: r for r in certificate(model).collect()}
+    assert set(told) == {"text", "numbers", "categories", "constants", "bias"}
+    assert all(r["settled"] == r["columns"] for r in told.values())
+    assert sum(r["columns"] for r in told.values()) == len(model.table_stages.stages[-1].coefficients) + len(model.constant_weights) + 1
+    stopped = train(labelled, max_iterations=1)
+    assert any(r["settled"] < r["columns"] for r in certificate(stopped).collect())
+
+
+def test_gradients_equal_those_of_numpy(labelled, model):
+    rows = model.table_stages.stages[-1].transform(model.design).select("features", "probability", "class_weight", TARGET_COLUMN).collect()
+    x = np.array([r["features"].toArray() for r in rows])
+    error = np.array([r["class_weight"] * (r["probability"][1] - r[TARGET_COLUMN]) for r in rows])
+    solver = model.table_stages.stages[-1]
+    want = x.T @ error / sum(r["class_weight"] for r in rows) + solver.getRegParam() * solver.coefficients.toArray()
+    got = {r["position"]: r["gradient"] for r in gradients(model).collect()}
+    assert all(abs(got[j] - want[j]) < 1e-12 for j in range(len(want)))
+
+
+def test_solver_reads_a_stored_matrix(model):
+    """Short lineage: the plan is one scan, and its schema names no cells."""
+    plan = model.design._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation" in plan and "Project" not in plan and "UDF" not in plan
+    assert model.design.schema["features"].metadata == {} and model.design.rdd.getNumPartitions() == 1
+
+
 def test_intermediate_tables_need_a_shared_folder():
     class Cluster:
         conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
