@@ -5,26 +5,30 @@ and spaces, the marker for spaces, unigram scores or ranked merges, and byte fal
 those of the sentencepiece library, which every text is compared with.
 
 Where no piece has a marker after another character, no piece can cross the beginning of a word.
-Words are then encoded alone, in multithreaded batches of those not seen lately. A model with such
-pieces is encoded by whole texts. Words with pieces of equal rank, such as runs of spaces, are joined
-here, leftmost first.
+The distinct words of a block of texts are then encoded in multithreaded batches, and the ids of its texts
+gathered from theirs. A model with such pieces is encoded by whole texts. Words with pieces of equal rank,
+such as runs of spaces, are joined here, leftmost first. Words of a block are told apart by 64-bit hashes; a
+text whose ids differ from the library's would be encoded once more by itself.
+
+``decode`` turns a table of ids back into texts by a table of the pieces' bytes. The round trip of every
+document is that of its whole ids: they must give its normalised text.
 
 Defined results
-    A null or empty text has no ids; its parity and round trip hold. Strings of control pieces in
-    a text are ordinary text. Repeated rows are encoded alike. Further columns are not read. An
+    A null or empty text has no ids; its parity and round trip hold. Null ids decode to null. Bytes
+    that are no UTF-8 decode to U+FFFD each, as in the library. Strings of control pieces in a text are ordinary text. Repeated rows are encoded alike. Further columns are not read. An
     empty table gives an empty result.
 
 Scale
     One pass over the texts without a shuffle. The model is read on the driver and travels with
-    the tasks. Each worker keeps at most ``REMEMBERED_WORDS`` words, or those of one batch.
+    the tasks. Nothing is kept from one block of ``CHARS_AT_ONCE`` characters to the next.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import os
 import re
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,16 +37,19 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
-from tokenizers import Tokenizer, decoders, models, normalizers
+from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
 
 from seamstat.llm import piece_model as pm
+from seamstat.llm.shingles import word_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
-REMEMBERED_WORDS = 300_000
+UNKNOWN_SIGN = " \u2047 "
 THREADS = 2  # of the tokenizers library in each Python worker, unless the environment says otherwise
-CHARS_AT_ONCE = 2_000_000
+CHARS_AT_ONCE = 1_500_000
+WORDS_AT_ONCE = 200  # in one text for the backend, which cuts it at the markers again
 WORDS = re.compile(f"{MARKER}*[^{MARKER}]+|{MARKER}+")
+_SPACE = np.arange(256) == 0x20
 
 
 def ranked_merges(model: pm.PieceModel) -> list[tuple[str, str]]:
@@ -103,6 +110,19 @@ def joined_by_score(word: str, scores: dict[str, float]) -> list[str]:
     return [p for p in parts if p is not None]
 
 
+def piece_bytes(model: pm.PieceModel) -> list[bytes]:
+    """What each piece stands for in a text: nothing for control pieces, a sign for the unknown one."""
+    found = []
+    for piece, kind in zip(model.pieces, model.types, strict=True):
+        if kind == pm.BYTE:
+            found.append(bytes([int(piece[3:5], 16)]))
+        elif kind == pm.CONTROL:
+            found.append(b"")
+        else:
+            found.append(UNKNOWN_SIGN.encode() if kind == pm.UNKNOWN else piece.replace(MARKER, " ").encode())
+    return found
+
+
 def backend(model: pm.PieceModel) -> Tokenizer:
     """The model as a tokenizer of normalised text."""
     unknown = model.types.index(pm.UNKNOWN)
@@ -119,11 +139,7 @@ def backend(model: pm.PieceModel) -> Tokenizer:
         )
     else:
         raise ValueError("only unigram and BPE models can be rebuilt")
-    tokenizer = Tokenizer(core)
-    tokenizer.decoder = decoders.Sequence(
-        [decoders.Replace(MARKER, " "), decoders.ByteFallback(), decoders.Fuse()]
-    )
-    return tokenizer
+    return Tokenizer(core)
 
 
 @dataclass
@@ -134,7 +150,6 @@ class PieceCodec:
 
     def __post_init__(self) -> None:
         self.tokenizer: Tokenizer | None = None
-        self.known: dict[str, tuple[bytes, bool]] = {}
 
     def __getstate__(self) -> bytes:
         return self.proto
@@ -160,6 +175,10 @@ class PieceCodec:
             self.tied = tied_pieces(self.model)
             kinds = zip(self.model.pieces, self.model.scores, self.model.types, strict=True)
             self.scores = {piece: score for piece, score, kind in kinds if kind == pm.NORMAL}
+            self.bytes_of = piece_bytes(self.model)
+            self.by_marker = backend(self.model)
+            self.by_marker.pre_tokenizer = pre_tokenizers.Metaspace(replacement=MARKER, prepend_scheme="never", split=True)
+            self.begins_word = np.array([piece.startswith(MARKER) for piece in self.model.pieces])
             self.judge = sentencepiece.SentencePieceProcessor(model_proto=self.proto)
 
     def normalised(self, text: str) -> str:
@@ -175,18 +194,37 @@ class PieceCodec:
             text = f"{text} " if self.model.whitespace_as_suffix else f" {text}"
         return text.replace(" ", MARKER) if self.model.escape_spaces else text
 
-    def _remember(self, texts: list[list[str]]) -> None:
-        fresh = {w for words in texts for w in words if w not in self.known}
-        if len(self.known) + len(fresh) > REMEMBERED_WORDS:
-            self.known = {}
-            fresh = {w for words in texts for w in words}
-        listed = list(fresh)
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(listed, add_special_tokens=False)]
-        for i in {i for piece in self.tied for i, word in enumerate(listed) if piece in word}:
-            encoded[i] = [n for part in joined_by_score(listed[i], self.scores) for n in self._ids_of(part)]
-        decoded = self.tokenizer.decode_batch(encoded, skip_special_tokens=False)
-        for word, ids, back in zip(listed, encoded, decoded, strict=True):
-            self.known[word] = array("i", ids).tobytes(), back == word.replace(MARKER, " ")
+    def _encoded(self, words: list[str]) -> list[list[int]]:
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        for i in {i for piece in self.tied for i, word in enumerate(words) if piece in word}:
+            encoded[i] = [n for part in joined_by_score(words[i], self.scores) for n in self._ids_of(part)]
+        return encoded
+
+    def _by_hash(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of normalised texts that begin with a space and have single spaces between words only."""
+        blocks = [text.replace(MARKER, " ").encode("utf-8", "surrogatepass") for text in texts]
+        data = b"".join(blocks) + b" "
+        starts, hashes = word_hashes(data, _SPACE)
+        stops = np.append(starts[1:], len(data)) - 1
+        _, first, word = np.unique(hashes, return_index=True, return_inverse=True)
+        words = [MARKER + data[starts[i] : stops[i]].decode("utf-8", "surrogatepass") for i in first]
+        runs = ["".join(words[i : i + WORDS_AT_ONCE]) for i in range(0, len(words), WORDS_AT_ONCE)]
+        encoded = [e.ids for e in self.by_marker.encode_batch_fast(runs, add_special_tokens=False)]
+        flat = np.fromiter(itertools.chain.from_iterable(encoded), np.int32, sum(map(len, encoded)))
+        begins = np.flatnonzero(self.begins_word[flat])  # one piece of each word has the marker
+        sizes = np.diff(np.append(begins, len(flat)))
+        n = sizes[word.ravel()]
+        stop = np.cumsum(n)
+        ids = flat[np.repeat(begins[word.ravel()] - (stop - n), n) + np.arange(n.sum())]
+        ends = np.cumsum([len(block) for block in blocks])
+        upto = np.concatenate([[0], stop])[np.searchsorted(starts, ends)]
+        return np.split(ids, upto[:-1])
+
+    def _by_text(self, texts: list[str]) -> list[np.ndarray]:
+        words = [WORDS.findall(text) if self.by_word else [text] * bool(text) for text in texts]
+        distinct = list({w for some in words for w in some})
+        known = dict(zip(distinct, self._encoded(distinct), strict=True))
+        return [np.array([n for w in some for n in known[w]], np.int32) for some in words]
 
     def _ids_of(self, part: str) -> list[int]:
         """The id of a piece, or what stands for a character that is none."""
@@ -198,17 +236,25 @@ class PieceCodec:
         """Ids of each text, and whether they decode to its normalised form."""
         self._open()
         every = [self.normalised(text) for text in texts]
-        words = [WORDS.findall(text) if self.by_word else [text] * bool(text) for text in every]
-        self._remember(words)
-        found = [[self.known[w] for w in some] for some in words]
-        ids = [np.frombuffer(b"".join([f[0] for f in some]), np.int32) for some in found]
-        return ids, [all([f[1] for f in some]) for some in found]
-
-    def decode(self, ids: list[list[int]]) -> list[str]:
+        apart = [MARKER * 2, *self.tied]
+        single = [self.by_word and t[:1] == MARKER and t[-1] != MARKER and not any([piece in t for piece in apart]) for t in every]
+        ids: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
+        for way, chosen in ((self._by_hash, True), (self._by_text, False)):
+            places = [i for i, one in enumerate(single) if one == chosen]
+            if places:
+                for i, found in zip(places, way([every[i] for i in places]), strict=True):
+                    ids[i] = found
+        spaced = [t.replace(MARKER, " ").encode("utf-8", "surrogatepass") for t in every]
+        return ids, [self._bytes(a) == b for a, b in zip(ids, spaced, strict=True)]
+
+    def _bytes(self, ids: np.ndarray | list[int]) -> bytes:
+        return b"".join([self.bytes_of[i] for i in ids])
+
+    def decode(self, ids: list[list[int] | None]) -> list[str | None]:
         """Texts of id sequences, without the space that encoding puts first."""
         self._open()
-        texts = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-        return [t[1:] if self.model.dummy_prefix and t.startswith(" ") else t for t in texts]
+        texts = [None if some is None else self._bytes(some).decode("utf-8", "replace") for some in ids]
+        return [t[1:] if t and self.model.dummy_prefix and t[0] == " " else t for t in texts]
 
     def parity(self, texts: list[str], ids: list[np.ndarray]) -> list[bool]:
         """Whether the ids of each text are those of the sentencepiece library."""
@@ -239,6 +285,10 @@ def encode(docs: DataFrame, codec: PieceCodec, key: str = "doc_id", text: str =
             at = 0
             for texts in in_parts([t or "" for t in batch.column(1).to_pylist()]):
                 ids, round_trip = codec.encode(texts)
+                parity = codec.parity(texts, ids)
+                for i in [i for i, same in enumerate(parity) if not same]:  # words of one hash, if any
+                    (ids[i],), (round_trip[i],) = codec.encode([texts[i]])
+                    (parity[i],) = codec.parity([texts[i]], [ids[i]])
                 sizes = np.fromiter(map(len, ids), np.int64, len(ids))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
@@ -246,7 +296,7 @@ def encode(docs: DataFrame, codec: PieceCodec, key: str = "doc_id", text: str =
                         batch.column(0).slice(at, len(texts)),
                         pa.array(sizes),
                         pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids))),
-                        pa.array(codec.parity(texts, ids), pa.bool_()),
+                        pa.array(parity, pa.bool_()),
                         pa.array(round_trip, pa.bool_()),
                     ],
                     [key, "n_tokens", "token_ids", "parity", "round_trip"],
@@ -255,3 +305,15 @@ def encode(docs: DataFrame, codec: PieceCodec, key: str = "doc_id", text: str =
 
     schema = f"`{key}` {known_as}, n_tokens bigint, token_ids array<int>, parity boolean, round_trip boolean"
     return docs.select(key, text).mapInArrow(run, schema)
+
+
+def decode(tokens: DataFrame, codec: PieceCodec, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
+    """All rows with the text of their ids in a further column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = codec.decode(batch.column(ids).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema.fields]
+    return tokens.mapInArrow(run, ", ".join([*fields, f"`{text}` string"]))

@@ -36,10 +36,10 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(powers)
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of each word; the data must end with a blank."""
+def word_hashes(data: bytes, between: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of each word; ``between`` marks the bytes between words, and the data must end with one."""
     codes = np.frombuffer(data, np.uint8)
-    blank = _BLANK[codes]
+    blank = between[codes]
     edges = np.flatnonzero(np.diff(np.concatenate([[True], blank]).view(np.int8)))
     starts, ends = edges[::2], edges[1::2]
     sums = np.zeros(len(codes) + 1, np.uint64)

@@ -72,8 +72,25 @@ def test_table_edges(spark):
     assert sb.encode(spark.createDataFrame([], schema), codec).collect() == []
 
 
-def test_few_remembered_words(monkeypatch):
+def test_blocks_do_not_matter(monkeypatch):
     codec = sb.PieceCodec.load()
-    whole = [i.tolist() for i in codec.encode(TEXTS)[0]]
-    monkeypatch.setattr(sb, "REMEMBERED_WORDS", 2)
-    assert [codec.encode([t])[0][0].tolist() for t in TEXTS] == whole
+    texts = TEXTS + ["single spaces only here", "and the same words here again", "new\nlines of\ttabs"]
+    whole = [i.tolist() for i in codec.encode(texts)[0]]
+    assert [codec.encode([t])[0][0].tolist() for t in texts] == whole == codec.judge.encode(texts)
+    monkeypatch.setattr(sb, "CHARS_AT_ONCE", 5)
+    assert [t for part in sb.in_parts(texts) for t in part] == texts
+
+
+def test_tables_decode_to_their_texts(spark):
+    """Whole documents and odd rows come back; ids of no text decode like in the library."""
+    codec = sb.PieceCodec.load()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    back = sb.decode(sb.encode(docs, codec), codec).join(docs, "doc_id")
+    assert back.where("decoded IS DISTINCT FROM text").isEmpty() and back.count() == docs.count()
+    judge = sentencepiece.SentencePieceProcessor(model_file=sb.MODEL)
+    odd = [[], [1, 2], [0], [259], [3, 200, 201], [28705, 28705], [229, 186, 143, 5]]
+    rows = [(i, ids) for i, ids in enumerate(odd)] + [(99, None)]
+    got = sb.decode(spark.createDataFrame(rows, "doc_id bigint, token_ids array<int>"), codec).collect()
+    assert got[-1]["decoded"] is None
+    assert [r["decoded"] for r in got[:2]] == ["", ""]
+    assert [r["decoded"] for r in got[3:-1]] == [judge.decode(ids) for ids in odd[3:]]
