@@ -1,12 +1,18 @@
 """Main text of web pages by the distribution of text over line blocks.
 
 Markup is stripped to lines: every block element is a line of its own. Elements that stand around
-an article (menus, page headers and footers, sidebars, reader comments) leave a gap of empty lines;
-those that also stand within one (scripts, forms, asides, adverts, notices) leave none. A class or
-id counts by a whole token or its last part. Text lengths are summed over windows of ``WINDOW`` lines. A
-region begins where a sum surges above zero and ends where it dives to zero again, and is kept if
-a sum in it reaches ``SURGE`` characters or it lies between two that are kept, or if the page marks
-it as its article. If no region reaches that, the one with the highest sum is kept.
+an article (menus, page headers and footers, sidebars, reader comments) leave a gap of empty lines, and so do
+the edges of what a page marks as an article (``article``, ``main``, ``articleBody``); elements that also stand
+within one (scripts, forms, asides, adverts, notices) leave none. A class or id counts by a whole token or its
+last part. A line other than a paragraph or heading whose text is mostly links has no size.
+
+Sizes are summed over windows of ``WINDOW`` lines. A region begins where a sum surges above zero and ends where
+it dives to zero again. Marks weigh lines: with ``share`` the part of the page's text that is marked, where marked
+text counts ``FAVOUR`` times, marked lines weigh 2 share and others 2 (1 - share). So a marked article outweighs
+what else is on its page, and a marked teaser does not outweigh an unmarked story. A region is kept if a weighted
+sum in it reaches ``SURGE`` characters, or it is marked and the share is at least one half, or it lies between two
+of its kind that are kept. If none is, the one with the highest sum is. Kept regions give all their lines,
+those without size between others included.
 
 Defined results
     A null or empty page has the empty text and no characters. Character references are decoded
@@ -32,7 +38,9 @@ from pyspark.sql import DataFrame
 
 WINDOW = 3
 SURGE = 86
-LINK_SHARE = 0.5  # a line outside of an article with more of its text in links is a menu
+FAVOUR = 3
+LINK_SHARE = 0.5  # a line with more of its text in links is a menu, unless it is a paragraph
+PARAGRAPHS = set("p h1 h2 h3 h4 h5 h6 blockquote pre dd figcaption".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|$)|</?[A-Za-z][^>]*(?:>|$)""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|itemprop|aria-hidden|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=\s|/|$)""", re.IGNORECASE)
@@ -73,6 +81,11 @@ class Line:
     text: str
     linked: int
     inside: bool  # of an article
+    paragraph: bool = False
+
+    @property
+    def size(self) -> int:
+        return len(self.text) if self.paragraph or self.linked <= LINK_SHARE * len(self.text) else 0
 
 
 @dataclass
@@ -83,6 +96,7 @@ class Stripper:
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     links: int = 0
+    block: str = ""  # the block element that the line began with
     articles: list[str] = field(default_factory=list)  # open elements that mark the article
     depths: list[int] = field(default_factory=list)  # of elements of the same name inside them
     skipped: str = ""
@@ -97,13 +111,16 @@ class Stripper:
     def end_line(self) -> None:
         text = " ".join(html.unescape("".join(self.pieces)).split())
         if text:
-            self.lines.append(Line(text, self.linked, bool(self.articles)))
-        self.pieces, self.linked = [], 0
+            self.lines.append(Line(text, self.linked, bool(self.articles), self.block in PARAGRAPHS))
+        self.pieces, self.linked, self.block = [], 0, ""
 
     def gap(self) -> None:
         self.end_line()
         if not self.articles:
-            self.lines += [Line("", 0, False)] * WINDOW
+            self.edge()
+
+    def edge(self) -> None:
+        self.lines += [Line("", 0, False)] * WINDOW
 
     def skip(self, name: str, around: bool) -> None:
         self.gap() if around else self.end_line()
@@ -124,9 +141,12 @@ class Stripper:
             self.end_line()
         if name in VOID:
             return
+        if name not in INLINE:
+            self.block = name
         if marked in ("out", "around") and not (name == "header" and self.articles):
             self.skip(name, marked == "around")
         elif marked == "in":
+            self.gap()
             self.articles.append(name)
             self.depths.append(1)
         else:
@@ -157,6 +177,7 @@ class Stripper:
             if self.depths[-1] == 0:
                 self.articles.pop()
                 self.depths.pop()
+                self.gap()
 
 
 def _called(token: str) -> str:
@@ -221,24 +242,50 @@ def strip_markup(page: str) -> list[Line]:
     return walk.lines
 
 
-def main_text(page: str | None) -> str:
-    lines = strip_markup(page or "")
-    marked = any(line.inside for line in lines)
-    sizes = [
-        len(line.text) if line.inside or not marked and line.linked <= LINK_SHARE * len(line.text) else 0
-        for line in lines
-    ]
-    if not any(sizes):
-        return ""
+@dataclass
+class Region:
+    """Lines first to last (exclusive) between a surge and a dive, and the highest sum of windows in it."""
+
+    first: int
+    last: int
+    highest: float
+    marked: bool
+
+
+def regions(sizes: np.ndarray, weights: np.ndarray, marked: np.ndarray) -> list[Region]:
     # sums[i] covers the lines i - WINDOW + 1 to i.
     sums = np.convolve(sizes, np.ones(WINDOW, np.int64))
+    weighted = np.convolve(sizes * weights, np.ones(WINDOW))
     full = np.concatenate([[False], sums > 0, [False]])
     surges, dives = np.flatnonzero(full[1:] & ~full[:-1]), np.flatnonzero(full[:-1] & ~full[1:])
-    highest = [int(sums[a:b].max()) for a, b in zip(surges, dives, strict=True)]
-    least = 1 if marked else min(SURGE, max(highest))
-    high = np.flatnonzero(np.array(highest) >= least)
-    first, last = surges[high[0]], dives[high[-1]]
-    return " ".join(line.text for line, size in zip(lines[first:last], sizes[first:last], strict=True) if size)
+    return [
+        Region(int(a), int(b) - WINDOW + 1, float(weighted[a:b].max()), bool(marked[a])) for a, b in zip(surges, dives, strict=True)
+    ]
+
+
+def kept_regions(found: list[Region], share: float) -> list[Region]:
+    high = [r.highest >= SURGE or r.marked and share >= 0.5 for r in found]
+    if not any(high):
+        best = max((r.highest for r in found), default=0.0)
+        high = [r.highest == best for r in found]
+    kept = []
+    for i, region in enumerate(found):
+        alike = [high[k] and r.marked == region.marked for k, r in enumerate(found)]
+        if high[i] or any(alike[:i]) and any(alike[i + 1 :]):
+            kept.append(region)
+    return kept
+
+
+def main_text(page: str | None) -> str:
+    lines = strip_markup(page or "")
+    sizes = np.array([line.size for line in lines], np.int64)
+    marked = np.array([line.inside for line in lines], bool)
+    inside, outside = FAVOUR * int(sizes[marked].sum()), int(sizes[~marked].sum())
+    share = inside / max(inside + outside, 1)
+    # Without any mark all lines weigh 1.
+    weights = np.where(marked, 2 * share, 2 * (1 - share)) if inside else np.ones(len(lines))
+    kept = kept_regions(regions(sizes, weights, marked), share) if sizes.any() else []
+    return " ".join([line.text for r in kept for line in lines[r.first : r.last] if line.text])
 
 
 def extract(pages: DataFrame) -> DataFrame:

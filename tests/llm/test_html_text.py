@@ -1,3 +1,4 @@
+import random
 import re
 
 from seamstat.llm import html_text
@@ -69,3 +70,53 @@ def test_names_that_only_mention_boilerplate():
         assert main_text(f"<{tag}><p>{PARAGRAPH}</p></{tag.split()[0]}>") == PARAGRAPH
     for name in ("sidebar-left", "adBox", "cookie-notice", "post-comments", "ad-300x250", "navBar"):
         assert main_text(f'<p>{PARAGRAPH}</p><div class="{name}"><p>{PARAGRAPH}</p></div>') == PARAGRAPH
+
+
+def test_marks_weigh_lines_and_do_not_decide_alone():
+    story = " ".join([PARAGRAPH] * 3)
+    assert main_text(f"<article class=card>Other</article><div>{story}</div>") == story
+    assert main_text(f"<article><a href=/x>Read this next</a> and more</article><div><p>{story}</p><p>End.</p></div>") == f"{story} End."
+    assert main_text(f"<div>{PARAGRAPH}</div><article><p>{story}</p><p>{story}</p></article><div>Short</div>") == f"{story} {story}"
+    assert main_text(f"<article>One.</article><div>junk</div><article>{story}</article>") == f"One. {story}"
+
+
+def test_links_inside_a_region_stay():
+    link = "<a href=/source>The source of all this</a>"
+    page = f"<ul><li>{link}</li></ul><div><p>{PARAGRAPH}</p><p>{link}</p><p>{PARAGRAPH}</p><ul><li>{link}</li></ul><p>{PARAGRAPH}</p><p>{link}</p></div>"
+    text = "The source of all this"
+    assert main_text(page) == f"{PARAGRAPH} {text} {PARAGRAPH} {text} {PARAGRAPH} {text}"
+
+
+def plainly(blocks):
+    """Surge and dive on pages without marks, line by line."""
+    lines = []
+    for kind, text in blocks:
+        lines += [("", 0)] * 3 if kind == "gap" else [(text, 0 if kind == "link" else len(text))]
+    n = len(lines)
+    sums = [sum(size for _, size in lines[max(i - 2, 0) : i + 1]) for i in range(n + 2)]
+    found, i = [], 0
+    while i < n + 2:
+        if sums[i] == 0:
+            i += 1
+            continue
+        j = i
+        while j < n + 2 and sums[j] > 0:
+            j += 1
+        found.append((i, j - 2, max(sums[i:j])))
+        i = j
+    if not found:
+        return ""
+    least = min(86, max(high for _, _, high in found))
+    kept = [k for k, (_, _, high) in enumerate(found) if high >= least]
+    return " ".join(text for a, b, _ in found[kept[0] : kept[-1] + 1] for text, _ in lines[a:b] if text)
+
+
+def test_random_pages_without_marks_equal_plain_window_sums():
+    draw = random.Random(8)
+    for _ in range(400):
+        blocks = []
+        for _ in range(draw.randint(0, 25)):
+            kind = draw.choice(["text", "text", "text", "link", "link", "gap"])
+            blocks.append((kind, " ".join(f"{draw.choice('abc')}{k}" for k in range(draw.choice([1, 3, 8, 20])))))
+        shapes = {"text": "<div>{}</div>", "link": "<li><a href=/>{}</a></li>", "gap": "<nav>{}</nav>"}
+        assert main_text("".join(shapes[kind].format(text) for kind, text in blocks)) == plainly(blocks)
