@@ -1,256 +1,219 @@
-"""Substring deduplication over sliding spans of sentences and of words.
+"""Substring deduplication over sliding spans of sentences.
 
-A sentence ends after ``.``, ``!``, ``?`` or ``…`` before white space, and at a line break. One of
-over ``LONG`` words is cut again after every word whose checksum is divisible by ``CUT``.
+A sentence ends with a word that ends in ``.``, ``!``, ``?`` or ``…``, at a line break, and at the end of the
+text. One of over ``LONG`` words is cut again after every word whose hash is divisible by ``CUT``, so that
+stretches without signs are cut by their content, alike wherever they stand.
 
-1. At each sentence begins one span: the shortest run of sentences with at least ``SENTENCES``
-   sentences and ``WORDS`` words; the last such run also counts extended to the end of the text.
-   Besides, of every ``NEAR`` consecutive windows of ``WORDS`` words the one with the least hash is an
-   anchor, and what lies between two anchors is a span with them. So any passage of
-   ``WORDS + NEAR - 1`` = 51 words holds an anchor, wherever it begins and whatever stands around it.
-2. All windows of ``WORDS`` words that begin less than ``NEAR`` words from a repeated span are compared
-   too, so that a repeated passage is covered to its first and last word.
+At each sentence begins one span: the shortest run of sentences with at least ``SENTENCES`` sentences and
+``WORDS`` words; the last of a text also counts extended to the end of the text. Spans are compared over all
+documents by a 64-bit hash of their lower-cased words (A-Z). The first of equal ones, by document and place,
+stays; every sentence that another of them covers is removed.
 
-Spans and windows are compared by a 64-bit hash of their lower-cased words. The first of equal ones,
-by document id and place, stays; every word that another of them covers is removed. Every window of
-a repeated passage of 51 words or more is found; a shorter passage only if it holds a repeated span.
+A repeated passage holds a whole span, wherever it begins, unless cuts are far apart at both of its ends: one
+of 51 words without any sign is missed once in about 250 times, longer ones less often. What is left of
+a passage are its first and last words up to the nearest cuts, about ``CUT`` words each.
 
 Defined results
     A null text stays null and has no sentence. Blank stretches belong to the sentence before them.
-    Repeated rows of one id are one document, so they do not remove each other. A row with a null
-    id is kept as it is. An empty table gives an empty result. Further columns are carried along by
-    ``remove`` and may have any names that do not start with ``__span_``.
+    Repeated rows of one id and text are one document, so they do not remove each other; texts that
+    differ are different documents, whatever their ids. A row with a null id is kept as it is. An empty table
+    gives an empty result. Further columns are carried along by ``remove`` and may have any names that do
+    not start with ``__span_``.
 
 Scale
-    Windows are made near repeated spans only, and not where a later one covers them already. Both
-    are reduced to the first of each hash before a join, with a combine before the shuffle. A
-    passage in a third of all documents is a skewed join key, which adaptive execution splits. Only
-    the places inside one document meet in one row.
+    One row goes through the shuffle for each sentence that begins a span. Hashes are reduced to the first
+    place of each before a join, with a combine before the shuffle. A passage in a third of all documents is a
+    skewed join key, which adaptive execution splits. Only the places inside one document meet in one row.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seamstat.llm.shingles import mixed
+from seamstat.llm.shingles import mixed, word_hashes
 from seamstat.sources.scratch import stored
 
 SENTENCES = 2
-WORDS = 16
-LONG = 24
-CUT = 8
-NEAR = 36
-
-END = re.compile(r"(?:[.!?…]+(?=\s)|\n)\s*")
-WORD = re.compile(r"\S+\s*")
-
-_PLACE = np.random.default_rng(11).integers(0, 2**63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def sentences(text: str) -> list[tuple[int, str, int]]:
-    """(end, lower-cased word, 1) of the smallest pieces that are kept or removed, which cover the text."""
-    words = text.lower().split()
-    starts = [m.start() for m in WORD.finditer(text)]
-    return [(end, word, 1) for end, word in zip([*starts[1:], len(text)], words, strict=True)] if words else []
-
-
-def whole_sentences(text: str) -> list[tuple[int, str, int]]:
-    """(end, lower-cased words, number of words) of the sentences, which cover the text."""
-    found: list[tuple[int, str, int]] = []
-    start = 0
-    for stop in [*[m.end() for m in END.finditer(text)], len(text)]:
-        words = text[start:stop].lower().split()
-        if not words:
-            if found and stop > start:
-                found[-1] = (stop, *found[-1][1:])
-        elif len(words) <= LONG:
-            found.append((stop, " ".join(words), len(words)))
-        else:
-            held: list[str] = []
-            matches = list(WORD.finditer(text, start, stop))
-            for i, match in enumerate(matches):
-                held.append(match[0].strip().lower())
-                if i == len(matches) - 1 or zlib.crc32(held[-1].encode("utf-8", "surrogatepass")) % CUT == 0:
-                    found.append((match.end() if i < len(matches) - 1 else stop, " ".join(held), len(held)))
-                    held = []
-        start = stop
-    return found
-
-
-def spans(found: list[tuple[int, str, int]]) -> Iterator[tuple[int, int, int]]:
-    """(hash, first sentence, last sentence) of the span that begins at each sentence, and of the last to the end."""
-
-    def hashed(first: int, last: int) -> tuple[int, int, int]:
-        words = " ".join([s[1] for s in found[first : last + 1]])
-        return xxhash.xxh3_64_intdigest(words.encode("utf-8", "surrogatepass")), first, last
-
-    end, last, words = len(found) - 1, -1, 0  # the run is first .. last
-    for first in range(len(found)):
-        before = last
-        while last < end and (last - first + 1 < SENTENCES or words < WORDS):
-            last += 1
-            words += found[last][2]
-        if last - first + 1 < SENTENCES or words < WORDS:
-            if first and before < end:
-                yield hashed(first - 1, end)
-            return
-        yield hashed(first, last)
-        words -= found[first][2]
-
-
-def windows(words: list[str]) -> np.ndarray:
-    """Hash of the ``WORDS`` words that begin at each word."""
-    codes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
-    n = max(len(words) - WORDS + 1, 0)
-    sums = np.zeros(n, np.uint64)
-    for place in range(WORDS):
-        sums += codes[place : place + n] * _PLACE[place]
-    return mixed(sums)
-
-
-def _slide(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
-    """The least or greatest of each ``width`` consecutive values."""
-    size = 1
-    while size < width:
-        step = min(size, width - size)
-        values = pick(values[:-step], values[step:])
-        size += step
-    return values
-
-
-def anchors(hashes: np.ndarray) -> np.ndarray:
-    """Places of the least of any ``NEAR`` consecutive hashes, or of all if they are fewer."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    width = min(NEAR, len(hashes))
-    least = np.pad(_slide(hashes, width, np.minimum), width - 1)
-    return np.flatnonzero(_slide(least, width, np.maximum) == hashes)
-
-
-def _spans_of(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, runs) of the spans of sentences, the anchors and the stretches between anchors."""
-    found = whole_sentences(text)
-    first_word = np.cumsum([0, *[s[2] for s in found]])
-    of_sentences = [(value, int(first_word[a]) << 32 | int(first_word[b + 1])) for value, a, b in spans(found)]
-    hashes = windows(text.lower().split())
-    at = anchors(hashes)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes, dtype=np.uint64)])
-    between = mixed(sums[at[1:] + 1] - sums[at[:-1]] + (at[1:] - at[:-1]).astype(np.uint64))
-    values = np.concatenate([np.array([v for v, _ in of_sentences], np.uint64), hashes[at], between])
-    runs = np.concatenate([np.array([r for _, r in of_sentences], np.int64), at << 32 | at + WORDS, at[:-1] << 32 | at[1:] + WORDS])
-    return values.view(np.int64), runs
-
-
-def _windows_near(text: str, found: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, runs) of the windows near repeated spans that are not within a later one."""
-    hashes = windows(text.lower().split())
-    near = np.zeros(len(hashes), bool)
-    ranges = [(s["run"] >> 32, s["run"] & 0xFFFFFFFF, s["later"]) for s in found]
-    for first, last, _ in ranges:
-        near[max(first - NEAR + 1, 0) : last - WORDS + NEAR] = True
-    for first, last, later in ranges:
-        if later:
-            near[first : last - WORDS + 1] = False
-    at = np.flatnonzero(near)
-    return hashes[at].view(np.int64), at << 32 | at + WORDS
-
-
-def _table(docs: DataFrame, key: str, make: Callable[..., tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(hash, doc_id, run) of what ``make`` finds in the columns after the key."""
+WORDS = 24
+LONG = 8
+CUT = 4
+BYTES_AT_ONCE = 1 << 20
+
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 2**64))
+_STOP = np.zeros(256, bool)
+_STOP[list(b".!?")] = True
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    powers = np.full(n, base, np.uint64)
+    powers[:1] = 1
+    return np.multiply.accumulate(powers)
+
+
+@dataclass
+class Block:
+    """Words and sentences of several texts."""
+
+    starts: np.ndarray  # of the words, in the bytes of all texts
+    hashes: np.ndarray
+    bounds: np.ndarray  # of each text, the number of words before it; the last for the end
+    offsets: np.ndarray  # of each text, the number of bytes before it
+    first: np.ndarray  # word of each sentence, and the number of words at the end
+
+
+def split(texts: list[bytes]) -> Block:
+    data = b"".join([text.lower() + b"\n" for text in texts]) or b"\n"
+    codes = np.frombuffer(data, np.uint8)
+    starts, hashes = word_hashes(data)
+    offsets = np.cumsum([0, *[len(text) + 1 for text in texts]])
+    bounds = np.searchsorted(starts, offsets)
+    n = len(starts)
+    # The last byte of each word: the one before the first blank after its start.
+    blank = np.flatnonzero(np.isin(codes, np.frombuffer(b" \t\n\v\f\r", np.uint8)))
+    stops = blank[np.searchsorted(blank, starts)] if n else starts
+    ends = _STOP[codes[stops - 1]]
+    ellipsis = stops - 3 >= 0
+    for back, byte in ((1, 0xA6), (2, 0x80), (3, 0xE2)):
+        ellipsis &= codes[np.maximum(stops - back, 0)] == byte
+    lines = np.cumsum(codes == 0x0A)  # each text ends with one
+    after = np.append(starts[1:], len(data) - 1)
+    ends |= ellipsis | (lines[after] - (codes[after] == 0x0A) > lines[stops] - (codes[stops] == 0x0A))
+    if n:
+        ends[-1] = True
+    sentence = np.cumsum(ends) - ends
+    long = np.bincount(sentence, minlength=1)[sentence] > LONG if n else ends
+    cut = ends | long & (hashes % np.uint64(CUT) == 0)
+    return Block(starts, hashes, bounds, offsets[:-1], np.concatenate([[0], np.flatnonzero(cut) + 1]))
+
+
+def spans(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, run) of every span; a run holds its first word, within the text, in its upper half, and the
+    word after its last in its lower."""
+    n = len(block.hashes)
+    first, stop = block.first[:-1], block.first[1:]
+    text = np.searchsorted(block.bounds, first, "right") - 1
+    last = np.maximum(np.arange(len(first)) + SENTENCES - 1, np.searchsorted(stop, first + WORDS))
+    fits = last < len(first)
+    fits &= text[np.minimum(last, max(len(first) - 1, 0))] == text if len(first) else fits
+    begin, end, of = first[fits], stop[last[fits]], text[fits]
+    # The last span of each text once more, to the end of the text.
+    final = np.flatnonzero(np.append(of[1:] != of[:-1], True)[: len(of)])
+    tail = block.bounds[of[final] + 1]
+    more = tail > end[final]
+    begin, end, of = (np.concatenate([a, b[more]]) for a, b in ((begin, begin[final]), (end, tail), (of, of[final])))
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(block.hashes * _powers(_BASE, n), out=sums[1:])
+    values = mixed((sums[end] - sums[begin]) * _powers(_INVERSE, n + 1)[begin] + (end - begin).astype(np.uint64))
+    before = block.bounds[of]
+    return of, values.view(np.int64), (begin - before) << 32 | (end - before)
+
+
+def blocks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts of bounded length as bytes, with the place of their first; a longer text is a run of its own."""
+    at, part, size = 0, [], 0
+    for i, text in enumerate(texts):
+        data = (text or "").encode("utf-8", "surrogatepass")
+        if part and size + len(data) > BYTES_AT_ONCE:
+            yield at, part
+            at, part, size = i, [], 0
+        part.append(data)
+        size += len(data)
+    if part:
+        yield at, part
+
+
+def _digest(text: str) -> Column:
+    """What tells different texts of one id apart."""
+    return F.xxhash64(F.col(text))
+
+
+def span_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(hash, doc_id, digest, run) of all spans."""
     known_as = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [make(*row) for row in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True)]
-            if not made:
-                continue
-            rows = np.repeat(np.arange(len(made)), [len(hashes) for hashes, _ in made])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([hashes for hashes, _ in made])),
-                    batch.column(0).take(pa.array(rows, pa.int64())),
-                    pa.array(np.concatenate([runs for _, runs in made])),
-                ],
-                ["hash", "doc_id", "run"],
-            )
+            for at, texts in blocks(batch.column(2).to_pylist()):
+                of, values, runs = spans(split(texts))
+                rows = pa.array(of + at)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(values), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(runs)], ["hash", "doc_id", "digest", "run"]
+                )
 
-    return docs.mapInArrow(run, f"hash bigint, doc_id {known_as}, run bigint")
+    known = docs.select(F.col(key).alias("doc_id"), _digest(text).alias("digest"), F.col(text).alias("text"))
+    known = known.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    return known.mapInArrow(run, f"hash bigint, doc_id {known_as}, digest bigint, run bigint")
 
 
-def _repeated(made: DataFrame, name: str) -> DataFrame:
-    """(doc_id, run, later) of every repeated hash: the run, and whether it is not the first of its kind."""
-    every = stored(made, name)
-    place = F.struct("doc_id", "run")
+def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, digest, spans): the words of every repeated span, and whether it is a later one of its kind."""
+    every = stored(span_table(docs, key, text), "spans")
+    place = F.struct("doc_id", "digest", "run")
     # Written, because a join with a grouped table itself could not split a frequent passage.
     several = stored(
         every.groupBy(F.col("hash").alias("of"))
-        .agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("times"))
-        .where("times > 1")
+        .agg(F.min(place).alias("earliest"), F.max(place).alias("latest"))
+        .where("earliest < latest")
         .select("of", "earliest"),
         "several",
     )
     found = every.join(several, F.col("hash") == F.col("of"))
-    return found.select("doc_id", "run", (place != F.col("earliest")).alias("later"))
-
+    marks = found.select("doc_id", "digest", F.struct("run", (place != F.col("earliest")).alias("later")).alias("span"))
+    return marks.groupBy("doc_id", "digest").agg(F.collect_set("span").alias("spans"))
 
-def _by_document(found: DataFrame) -> DataFrame:
-    return found.groupBy("doc_id").agg(F.collect_set(F.struct("run", "later")).alias("spans"))
 
-
-def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, spans): the words of every repeated span or window, and whether it is a later one of its kind.
-
-    A run holds its first word in its upper half, the word after its last in its lower.
-    """
-    known = docs.select(key, text).where(F.col(key).isNotNull() & F.col(text).isNotNull())
-    found = stored(_repeated(_table(known, key, _spans_of), "spans"), "found")
-    marks = stored(_by_document(found), "marks").select(F.col("doc_id").alias("__span_id"), F.col("spans").alias("__span_found"))
-    marked = known.join(marks, F.col(key) == F.col("__span_id")).select(key, text, "__span_found")
-    more = _repeated(_table(marked, key, _windows_near), "windows")
-    return _by_document(found.unionByName(more))
+def _covered(found: list[dict] | None, size: int) -> np.ndarray:
+    """(2, words): what any span covers, and what a later one does."""
+    steps = np.zeros((2, size + 1), np.int64)
+    for s in found or ():
+        first, after = s["run"] >> 32, s["run"] & 0xFFFFFFFF
+        steps[: 1 + s["later"], first] += 1
+        steps[: 1 + s["later"], after] -= 1
+    return np.cumsum(steps, 1)[:, :size] > 0
 
 
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows with the text that stays, and three counts after the other columns.
 
-    n_sentences counts the sentences, n_repeated those with a word in any repeated span, n_removed
-    those with a word in one that is not the first of its kind.
+    n_sentences counts the sentences, n_repeated those in any repeated span, n_removed those in one that is
+    not the first of its kind.
     """
     marks = stored(repeated(docs, key, text), "repeated").select(
-        F.col("doc_id").alias("__span_id"), F.col("spans").alias("__span_found")
+        F.col("doc_id").alias("__span_id"), F.col("digest").alias("__span_digest"), F.col("spans").alias("__span_found")
     )
-    marked = docs.join(marks, F.col(key) == F.col("__span_id"), "left").drop("__span_id")
+    marked = docs.join(marks, (F.col(key) == F.col("__span_id")) & (_digest(text) == F.col("__span_digest")), "left")
+    marked = marked.drop("__span_id", "__span_digest")
     at = marked.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, counts, again, gone = [], [], [], []
-            for content, found in zip(batch.column(at).to_pylist(), batch.column("__span_found").to_pylist(), strict=True):
-                whole, parts = whole_sentences(content or ""), sentences(content or "")
-                covered = np.zeros((2, len(parts)), bool)  # by any span, by a later one
-                for s in found or ():
-                    covered[: 1 + s["later"], s["run"] >> 32 : s["run"] & 0xFFFFFFFF] = True
-                if covered[1].any():
-                    starts = [0, *[end for end, _, _ in parts]]
-                    content = "".join([content[starts[i] : starts[i + 1]] for i in np.flatnonzero(~covered[1])])
-                texts.append(content)
-                counts.append(len(whole))
-                touched = np.add.reduceat(covered, np.cumsum([0, *[s[2] for s in whole[:-1]]]), 1) if whole else covered
-                again.append(int((touched[0] > 0).sum()))
-                gone.append(int((touched[1] > 0).sum()))
+            texts, found = batch.column(at).to_pylist(), batch.column("__span_found").to_pylist()
+            counts = np.zeros((3, len(texts)), np.int64)
+            for start, part in blocks(texts):
+                block = split(part)
+                of = np.searchsorted(block.bounds, block.first[:-1], "right") - 1
+                counts[0, start : start + len(part)] = np.bincount(of, minlength=len(part))
+                for i in [i for i in range(len(part)) if found[start + i]]:
+                    low, high = block.bounds[i], block.bounds[i + 1]
+                    covered = _covered(found[start + i], int(high - low))
+                    inner = block.first[:-1][of == i] - low
+                    counts[1:, start + i] = covered[:, inner].sum(1)
+                    if covered[1].any():
+                        edges = np.append(block.starts[low:high] - block.offsets[i], len(part[i]))
+                        edges[0] = 0
+                        kept = [part[i][edges[w] : edges[w + 1]] for w in np.flatnonzero(~covered[1])]
+                        texts[start + i] = b"".join(kept).decode("utf-8", "surrogatepass")
             columns = batch.columns[:-1]
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(
-                [*columns, *[pa.array(n, pa.int64()) for n in (counts, again, gone)]],
-                [*batch.schema.names[:-1], "n_sentences", "n_repeated", "n_removed"],
+                [*columns, *[pa.array(row) for row in counts]], [*batch.schema.names[:-1], "n_sentences", "n_repeated", "n_removed"]
             )
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
