@@ -12,18 +12,29 @@ from seamstat.llm import language_id, mixing, near_dup, secret_scan, sentencepie
 from seamstat.sources.scratch import stored
 
 
+ROWS_AT_ONCE = 1000  # of whole texts that go to a Python worker in one batch
+
+
+def _long_rows(spark: SparkSession) -> None:
+    """Texts are long rows: batches of Spark's usual 10,000 of them would take most of a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_AT_ONCE))
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language; those without a letter or a clear language go."""
+    _long_rows(spark)
     return language_id.keep_known(docs, language_id.fit(docs))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
+    _long_rows(spark)
     return near_dup.keep_one(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets in their texts masked by their kind."""
+    _long_rows(spark)
     return secret_scan.mask(docs, secret_scan.fit(docs))
 
 
@@ -34,6 +45,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document, checked for parity and round trip."""
+    _long_rows(spark)
     return sentencepiece_backend.encode(docs, sentencepiece_backend.PieceCodec.load())
 
 
