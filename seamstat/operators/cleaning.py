@@ -9,6 +9,7 @@ from seamstat.functions.numeric import number_or_zero
 from seamstat.schema import (
     CATEGORICAL_COLUMNS,
     CORE_NUMERIC_COLUMNS,
+    FORM_COLUMNS,
     ID_COLUMN,
     TARGET_COLUMN,
     TEXT_COLUMNS,
@@ -43,6 +44,14 @@ def clean_reviews(df: DataFrame) -> DataFrame:
     )
 
 
+def from_form(entries: DataFrame) -> DataFrame:
+    """A table of form entries with the names of the review columns; further columns stay."""
+    missing = [name for name in FORM_COLUMNS if name not in entries.columns]
+    if missing:
+        raise KeyError(f"form entries lack fields: {', '.join(missing)}")
+    return entries.withColumnsRenamed(FORM_COLUMNS)
+
+
 def with_review_id(df: DataFrame, key: str = ID_COLUMN) -> DataFrame:
     """Give a table without a key one made from the row's content.
 

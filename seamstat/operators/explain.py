@@ -75,26 +75,10 @@ def top_signals_sql(limit: int = TOP_SIGNALS) -> str:
 def with_strongest(df: DataFrame, limit: int = TOP_SIGNALS) -> DataFrame:
     """Append ``strongest``: (position, value) of the strongest features over all groups.
 
-    The greatest magnitude is taken ``limit`` times from an array of doubles, each time without
-    the places taken before; of equal ones the first, and NaN last. One step is one projection,
-    so that no step is computed again inside the next.
+    One sort of a short array inside the row; of equal magnitudes the first column, and NaN last.
     """
-    features = [f for f in FEATURES if f.name != "img_has_image"]
-    sizes = ", ".join(f"nanvl(abs(cast({f.name} as double)), -0.5D)" for f in features)
-    values = F.expr("array(" + ", ".join(f"cast({f.name} as double)" for f in features) + ")")
-    places = F.array(*[F.lit(f.position) for f in features])
-    left, out = "__sizes", df.withColumn("__sizes", F.expr(f"array({sizes})"))
-    for step in range(limit):
-        out = out.withColumn(f"__at{step}", F.array_position(left, F.array_max(left)).cast("int"))
-        at, rest = F.col(f"__at{step}"), F.col(left)
-        after = F.slice(rest, at + 1, F.lit(len(features)))
-        out = out.withColumn(f"__left{step}", F.concat(F.slice(rest, F.lit(1), at - 1), F.array(F.lit(-1.0)), after))
-        left = f"__left{step}"
-    found = [
-        F.struct(F.get(places, F.col(f"__at{k}") - 1).alias("position"), F.get(values, F.col(f"__at{k}") - 1).alias("value"))
-        for k in range(limit)
-    ]
-    return out.withColumn("strongest", F.array(*found)).select(*df.columns, "strongest")
+    told = F.transform(F.expr(top_signals_sql(limit)), lambda s: F.struct(s["position"].alias("position"), s["value"].alias("value")))
+    return df.withColumn("strongest", told)
 
 
 def top_signals(features: DataFrame, key: str = ID_COLUMN, limit: int = TOP_SIGNALS) -> DataFrame:

@@ -3,7 +3,7 @@ import math
 import pandas as pd
 import pytest
 
-from seamstat.operators.cleaning import clean_reviews, fill_columns, with_review_id
+from seamstat.operators.cleaning import clean_reviews, fill_columns, from_form, with_review_id
 from seamstat.schema import TARGET_COLUMN
 
 NUMBERS = ["5d", "5f", "0x1A", "0x1p3", "1.", ".5", "+3", "-2.5E-3", "1e3", "1_0", "1,000",
@@ -44,3 +44,11 @@ def test_content_keys_are_stable(presets):
     a = {r["Title"]: r["review_id"] for r in keyed.collect()}
     b = {r["Title"]: r["review_id"] for r in with_review_id(presets.drop("review_id").repartition(3)).collect()}
     assert a == b and len(set(a.values())) == 3
+
+
+def test_form_fields_become_columns(spark):
+    entries = spark.createDataFrame([("T", "R", 30, 2, 5, None, "Tops", "Knits", "x")], "title string, review string, age int, feedback int, rating int, division string, department string, class_name string, extra string")
+    row = clean_reviews(from_form(entries)).first().asDict()
+    assert row == {"Title": "T", "Review Text": "R", "Age": 30.0, "Positive Feedback Count": 2.0, "Rating": 5.0, "Division Name": "Unknown", "Department Name": "Tops", "Class Name": "Knits", "extra": "x"}
+    with pytest.raises(KeyError, match="class_name"):
+        from_form(entries.drop("class_name"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seamstat.functions.partitioning import spread
+from seamstat.operators import cleaning
 from seamstat.operators import enrich as en
 from seamstat.operators import explain as ex
 from seamstat.operators import image_stats as im
@@ -27,6 +28,7 @@ from seamstat.plans import training as tr
 from seamstat.schema import (
     CATEGORICAL_COLUMNS,
     CORE_NUMERIC_COLUMNS,
+    FORM_COLUMNS,
     IMAGE_FEATURES,
     NLP_FEATURES,
     NUMERIC_COLUMNS,
@@ -84,6 +86,13 @@ def clean_reviews(spark: SparkSession, sf: str) -> DataFrame:
     return dv.cleaned(spark, sf)
 
 
+@query
+def form_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    """Reviews as they come from the entry form, under its field names, cleaned."""
+    entries = dv.reviews(spark, sf).withColumnsRenamed({column: field for field, column in FORM_COLUMNS.items()})
+    return cleaning.clean_reviews(cleaning.from_form(entries))
+
+
 @query
 def enrich_join(spark: SparkSession, sf: str) -> DataFrame:
     joined = en.attach_survey(dv.cleaned(spark, sf), dv.survey_answers(spark, sf))

@@ -300,6 +300,7 @@ def define(name: str, ctes: str, select: str) -> None:
 # -- cleaning and enrichment --------------------------------------------------------------
 
 define("clean_reviews", CLEANED, "SELECT * FROM cleaned")
+define("form_reviews", CLEANED, "SELECT * FROM cleaned")
 define(
     "enrich_join",
     SURVEY_JOINED + ",\n" + IMAGES,
