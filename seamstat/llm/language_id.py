@@ -252,7 +252,7 @@ def training_words(docs: DataFrame, per_language: int = TRAINING_DOCS) -> DataFr
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
     rates = [F.lit(x) for row in sizes for x in (row["lang"], per_language / row["count"])]
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000.0
+    place = F.xxhash64("doc_id") / 2.0**64 + 0.5
     sampled = labelled.where(place < F.try_element_at(F.create_map(*rates), F.col("lang"))) if rates else labelled
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

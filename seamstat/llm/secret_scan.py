@@ -103,20 +103,20 @@ class SecretModel:
 
     def spans(self, text: str) -> list[Span]:
         spans = base_spans(text)
-        more = [
-            (m.start(), 3, m.end())
-            for m in _token.finditer(text)
-            if any(map(str.isalpha, m[0]))
-            and not any(start < m.end() and m.start() < end for start, _, end in spans)
-            and self.ratio(m[0]) >= THRESHOLD
-        ]
+        more, at, reach = [], 0, 0  # the spans before ``at`` begin before the token and end by ``reach``
+        for m in _token.finditer(text):
+            while at < len(spans) and spans[at][0] < m.end():
+                reach = max(reach, spans[at][2])
+                at += 1
+            if reach <= m.start() and any(map(str.isalpha, m[0])) and self.ratio(m[0]) >= THRESHOLD:
+                more.append((m.start(), 3, m.end()))
         return sorted(spans + more)
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> SecretModel:
     """Count neighbouring characters of labelled strings in a sample of the documents."""
     size = docs.count()
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000.0
+    place = F.xxhash64("doc_id") / 2.0**64 + 0.5
     sampled = docs.select("text").where(F.col("text").isNotNull() & (place < sample / max(size, 1)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -70,3 +70,25 @@ def test_mask_and_edges(spark, model):
     fitted = secret_scan.fit(empty)
     assert secret_scan.scan(empty, fitted).collect() == [] and secret_scan.mask(empty, fitted).collect() == []
     assert secret_scan.masked("abcdef", [(0, 0, 4), (2, 2, 5)]) == "<assign>f"
+
+
+def test_many_spans_of_one_text_are_swept_once():
+    """Tokens beside and inside base spans, against the comparison of each with each."""
+    import time
+
+    import numpy as np
+
+    model = secret_scan.SecretModel(np.full((len(secret_scan.SYMBOLS) + 1) ** 2, 9.0))
+    text = " ".join(f"password={'k' * 10}{i} {'Q' * 18}{i:06d}x AKIA{'Z' * 16} {'a1' * 20}" for i in range(6_000))
+    start = time.perf_counter()
+    spans = model.spans(text)
+    assert time.perf_counter() - start < 10
+    base = secret_scan.base_spans(text)
+    small = text[:4_000]
+    want = [
+        (m.start(), 3, m.end())
+        for m in secret_scan._token.finditer(small)
+        if any(map(str.isalpha, m[0])) and not any(a < m.end() and m.start() < b for a, _, b in secret_scan.base_spans(small)) and model.ratio(m[0]) >= secret_scan.THRESHOLD
+    ]
+    assert [s for s in model.spans(small) if s[1] == 3] == want and len(want) > 10
+    assert [s for s in spans if s[1] < 3] == base
