@@ -97,3 +97,17 @@ def test_chi_square_law():
     for x in (2.0, 8.0, 15.0):
         assert nearest.chi_square(x) == pytest.approx((draws <= x).mean(), abs=0.005)
     assert nearest.chi_square(nearest.stop_ratio(0.9)) == pytest.approx(0.9)
+
+
+def test_sketches_keep_near_pairs_and_part_others():
+    random = np.random.default_rng(5)
+    a = random.normal(size=(4000, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    other = random.normal(size=a.shape)
+    other -= (other * a).sum(1)[:, None] * a
+    other /= np.linalg.norm(other, axis=1)[:, None]
+    apart = [
+        np.unpackbits(lattice_dup.sketches(a) ^ lattice_dup.sketches(b), axis=1).sum(1)
+        for b in (0.9 * a + math.sqrt(1 - 0.81) * other, other)
+    ]
+    assert (apart[0] <= lattice_dup.MOST_APART).all() and (apart[1] > lattice_dup.MOST_APART).mean() > 0.99
