@@ -87,8 +87,13 @@ def cells(units: np.ndarray) -> np.ndarray:
         # A sum of products in a fixed order: the same vector gets the same cell in every batch.
         x = np.einsum("ij,jk->ik", units, projection) + shift
         home = nearest_point(x)
-        order = np.argsort(-((x - home) @ NEIGHBOURS.T), axis=1, kind="stable")[:, :PROBES]
-        points = np.concatenate([home[:, None], home[:, None] + NEIGHBOURS[order]], axis=1)
+        towards = (x - home) @ NEIGHBOURS.T
+        points = [home]
+        for _ in range(PROBES):
+            nearest = towards.argmax(1)
+            points.append(home + NEIGHBOURS[nearest])
+            towards[np.arange(len(x)), nearest] = -np.inf
+        points = np.stack(points, axis=1)
         doubled = np.rint(points * 2).astype(np.int64).view(np.uint64)
         out[:, table] = mixed((doubled * places).sum(2, dtype=np.uint64) + np.uint64(table * 1000 + dimension)).view(np.int64)
     return out
