@@ -1,10 +1,13 @@
-"""Connected components by alternating large-star and small-star.
+"""Connected components by hooking and pointer jumping.
 
-Each round replaces edges by edges to smaller nodes, without changing what is connected; it ends
-when every node of a component has one edge, to the component's smallest node.
+In each round every node takes its smallest smaller neighbour as parent. The parents form a forest,
+whose trees are shortened to stars by jumps: a node's parent becomes its parent's parent. Edges are
+then moved to the roots of their ends, and those that still lead to another root make the next
+round. A root that gained no child has only smaller neighbours after that, so the number of roots
+with edges halves in two rounds; edges that form a forest are done in one.
 
-Every step is a minimum for each node, combined before the shuffle, and a join with it. A node
-with very many edges is a skewed join key, which adaptive execution splits.
+Every step is a minimum for each node, combined before the shuffle, or a join of stored tables with
+one row a node. A node with very many edges is a skewed join key, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -14,58 +17,54 @@ from pyspark.sql import functions as F
 
 from seamstat.sources.scratch import stored
 
-MAX_ROUNDS = 100  # far above the logarithm of any component's size
+MAX_ROUNDS = 100  # far above twice the logarithm of any number of nodes, and above that of any depth
 
 
-def _settled(edges: DataFrame) -> bool:
-    """Whether every node has one edge, to a root that has none itself."""
-    ends = edges.select(F.col("node").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
-        edges.select(F.col("root").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down"))
-    )
-    uses = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-    return uses.where("up > 1 OR (up > 0 AND down > 0)").isEmpty()
+def _edges(links: DataFrame) -> DataFrame:
+    """(node, root) of links (a, b), larger end first; null ends and loops are left out."""
+    return links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))
 
 
-def _to_smallest(arcs: DataFrame) -> DataFrame:
-    """(node, other, least): each arc from node to other, with the least of node's others.
-
-    The least are written, because a join with a grouped table itself could not split a node with
-    very many arcs.
-    """
-    least = stored(arcs.groupBy(F.col("node").alias("of")).agg(F.min("other").alias("least")), "least")
-    return arcs.join(least, F.col("node") == F.col("of")).drop("of")
+def _above(parents: DataFrame) -> DataFrame:
+    return parents.select(F.col("node").alias("of"), F.col("root").alias("above"))
 
 
-def large_star(edges: DataFrame) -> DataFrame:
-    """Connect every larger neighbour of a node with the smallest of node and neighbours."""
-    both = edges.select(F.col("node"), F.col("root").alias("other")).unionByName(
-        edges.select(F.col("root").alias("node"), F.col("node").alias("other"))
-    )
-    larger = _to_smallest(both).where(F.col("other") > F.col("node"))
-    return larger.select(F.col("other").alias("node"), F.least("node", "least").alias("root")).distinct()
+def to_roots(parents: DataFrame) -> DataFrame:
+    """(node, root) of every node of a stored forest (node, root) of one parent a node."""
+    for _ in range(MAX_ROUNDS):
+        jumps = parents.join(_above(parents), F.col("root") == F.col("of"), "left").select(
+            "node", F.coalesce("above", "root").alias("root"), F.col("of").isNotNull().alias("moved")
+        )
+        jumps = stored(jumps, "jumps")
+        if jumps.where("moved").isEmpty():
+            return parents
+        parents = jumps.select("node", "root")
+    raise RuntimeError("trees did not become stars")
 
 
-def small_star(edges: DataFrame) -> DataFrame:
-    """Connect a node and all its smaller neighbours with the smallest of them."""
-    down = edges.select("node", F.col("root").alias("other"))
-    others = _to_smallest(down).where(F.col("other") != F.col("least"))
-    least = down.groupBy("node").agg(F.min("other").alias("root"))
-    return others.select(F.col("other").alias("node"), F.col("least").alias("root")).unionByName(least).distinct()
+def merged(component: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, root) after ``more``, itself (node, root), has joined roots of ``component`` or further nodes."""
+    moved = component.join(_above(more), F.col("root") == F.col("of"), "left")
+    return moved.select("node", F.coalesce("above", "root").alias("root")).unionByName(more)
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of a link (a, b) that is not its component's smallest.
 
-    Null ends and links of a node with itself are left out; repeated links do not matter.
+    Null ends and links of a node with itself are left out; repeated links do not matter. The links
+    are read twice, so they should be a stored table.
     """
-    edges = stored(
-        links.where(F.col("a") != F.col("b"))
-        .select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))
-        .distinct(),
-        "links",
-    )
+    edges, found = _edges(links), None
     for _ in range(MAX_ROUNDS):
-        if _settled(edges):
-            return edges
-        edges = stored(small_star(large_star(edges)), "stars")
+        least = stored(edges.groupBy("node").agg(F.min("root").alias("root"), F.max("root").alias("most")), "parents")
+        parents = to_roots(least.select("node", "root"))
+        found = stored(merged(found, parents), "components") if found is not None else parents
+        if least.where("root < most").isEmpty():  # every edge leads to a parent
+            return found
+        up, down = _above(parents), parents.select(F.col("node").alias("to"), F.col("root").alias("below"))
+        moved = edges.join(up, F.col("node") == F.col("of"), "left").join(down, F.col("root") == F.col("to"), "left")
+        ends = moved.select(F.coalesce("above", "node").alias("a"), F.coalesce("below", "root").alias("b"))
+        edges = stored(_edges(ends).distinct(), "edges")
+        if edges.isEmpty():
+            return found
     raise RuntimeError("components did not settle")

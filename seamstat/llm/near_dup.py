@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seamstat.llm.components import components
+from seamstat.llm.components import components, merged
 from seamstat.llm.shingles import mixed, shingle_sets
 from seamstat.sources.scratch import stored
 
@@ -159,73 +159,67 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full sets have the similarity."""
+    """The pairs (a, b, ...) whose full sets have the similarity."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = stored(full_sets(docs, stored(ids, "pair-ids")), "pair-sets")
+    own = range(len(pairs.columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = []
-            for left, right in zip(batch.column(2), batch.column(3), strict=True):  # without copies
+            for left, right in zip(batch.column("left"), batch.column("right"), strict=True):  # without copies
                 a, b = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 near.append(100 * common >= percent * (len(a) + len(b) - common))
-            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
+            yield batch.select(list(own)).filter(pa.array(near, pa.bool_()))
 
-    known_as = pairs.schema["a"].dataType.simpleString()
     return (
         pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
-        .select("a", "b", "left", "right")
-        .mapInArrow(run, f"a {known_as}, b {known_as}")
+        .select(*pairs.columns, "left", "right")
+        .mapInArrow(run, pairs.schema)
     )
 
 
-def _root(component: DataFrame, node: Column, name: str, df: DataFrame) -> DataFrame:
+def _root(component: DataFrame, node: str, name: str, df: DataFrame) -> DataFrame:
     """Add the component's smallest node, which is the node itself outside of all links."""
     known = component.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
-    joined = df.join(known, node == F.col("__node"), "left")
+    joined = df.join(known, F.col(node) == F.col("__node"), "left")
     return joined.withColumn(name, F.coalesce("__root", node)).drop("__node", "__root")
 
 
-def _apart(buckets: DataFrame, component: DataFrame) -> DataFrame:
-    """(key, id, root) of the buckets that hold several components."""
-    placed = stored(_root(component, F.col("id"), "root", buckets.select("key", "id")), "placed")
-    spread = placed.groupBy(F.col("key").alias("of_key")).agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    open_ = stored(spread.where("low < high").select("of_key"), "open")
-    return stored(placed.join(open_, F.col("key") == F.col("of_key"), "left_semi"), "apart")
+def _apart(placed: DataFrame) -> DataFrame:
+    """(key, id, root, head, head_root) of the buckets that hold several components, with their smallest member."""
+    placed = stored(placed, "placed")
+    spread = placed.groupBy(F.col("key").alias("of_key")).agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.min("id").alias("head"), F.min_by("root", "id").alias("head_root")
+    )
+    # Written, because a join with a grouped table itself could not split a large bucket.
+    open_ = stored(spread.where("low < high").select("of_key", "head", "head_root"), "open")
+    return stored(placed.join(open_, F.col("key") == F.col("of_key")).drop("of_key"), "apart")
 
 
 def _with_heads(apart: DataFrame) -> DataFrame:
     """(a, b, low, high): the leader of each bucket with each member of another component, and both components."""
-    heads = stored(apart.groupBy(F.col("key").alias("of_key")).agg(F.min(F.struct("id", "root")).alias("head")), "heads")
-    others = apart.join(heads, (F.col("key") == F.col("of_key")) & (F.col("root") != F.col("head.root")))
-    return others.select(
-        F.col("head.id").alias("a"),
+    return apart.where("root != head_root").select(
+        F.col("head").alias("a"),
         F.col("id").alias("b"),
-        F.least("root", "head.root").alias("low"),
-        F.greatest("root", "head.root").alias("high"),
+        F.least("root", "head_root").alias("low"),
+        F.greatest("root", "head_root").alias("high"),
     )
 
 
-def _as_links(component: DataFrame) -> DataFrame:
-    return component.select(F.col("root").alias("a"), F.col("node").alias("b"))
-
-
 def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     every = stored(signed(docs), "signed")
-    one_of = stored(
+    # Texts with one digest have one set, and so the same bands and signature.
+    firsts = stored(
         every.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("id")),
-        "copies",
+        .agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("signature").alias("signature")),
+        "firsts",
     )
-    first = every.alias("e").join(
-        one_of.alias("o"), (F.col("e.digest") == F.col("o.digest")) & (F.col("e.doc_id") == F.col("o.id"))
-    )
-    # A repeated row of one id would stand for the same document twice.
-    firsts = stored(first.select("id", "bands", "signature").dropDuplicates(["id", "signature"]), "firsts")
+    one_of = firsts.select("digest", "id")
     marks = firsts.select("id", F.explode("bands").alias("key"))
     shared = marks.groupBy(F.col("key").alias("of_key")).agg(F.min("id").alias("leader"), F.max("id").alias("last"))
     # Written, because a join with a grouped table itself could not split a large bucket.
@@ -233,31 +227,34 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     buckets = stored(marks.join(shared, F.col("key") == F.col("of_key")).select("key", "id", "leader"), "buckets")
     signatures = firsts.select("id", "signature")
 
-    def with_signatures(pairs: DataFrame) -> DataFrame:
-        return pairs.join(signatures.select(F.col("id").alias("a"), F.col("signature").alias("left")), "a").join(
-            signatures.select(F.col("id").alias("b"), F.col("signature").alias("right")), "b"
+    def linked(pairs: DataFrame) -> DataFrame:
+        near = (
+            pairs.join(signatures.select(F.col("id").alias("a"), F.col("signature").alias("left")), "a")
+            .join(signatures.select(F.col("id").alias("b"), F.col("signature").alias("right")), "b")
+            .where(alike(F.col("left"), F.col("right"), percent))
         )
+        return confirmed(docs, stored(near.select(*pairs.columns), "pairs"), percent)
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        near = with_signatures(pairs).where(alike(F.col("left"), F.col("right"), percent))
-        return confirmed(docs, stored(near.select("a", "b"), "pairs"), percent)
+    def closed(links: DataFrame) -> DataFrame:
+        """(node, root) of the components that the links join."""
+        return components(stored(links.select(F.col("low").alias("a"), F.col("high").alias("b")), "links"))
 
     # Each member with the leader that it shares most bands with, then with those still apart from it.
-    shares = buckets.where("id > leader").groupBy("leader", "id").agg(F.count(F.lit(1)).alias("n"))
-    closest = shares.groupBy(F.col("id").alias("b")).agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("a"))
-    component = components(stored(linked(closest.select("a", "b")).unionByName(_same_id(every, one_of)), "links"))
+    closest = buckets.where("id > leader").groupBy(F.col("id").alias("b")).agg(F.mode("leader", True).alias("a"))
+    links, again = linked(closest.select("a", "b")), _same_id(every, one_of)
+    component = components(stored(links if again is None else links.unionByName(again), "links"))
     # Of two components that meet in buckets, first the pair that shares most bands, then all pairs.
-    apart = _apart(buckets, component)
+    apart = _apart(_root(component, "id", "root", buckets.select("key", "id")))
     meeting = _with_heads(apart).groupBy("a", "b", "low", "high").agg(F.count(F.lit(1)).alias("n"))
     best = meeting.groupBy("low", "high").agg(F.max_by(F.struct("a", "b"), F.struct("n", "a", "b")).alias("pair"))
-    more = stored(linked(best.select("pair.*")), "links")
-    component = components(more.unionByName(_as_links(component)))
-    apart = _apart(apart, component)
-    more = stored(linked(_with_heads(apart).select("a", "b").distinct()), "links")
-    component = components(more.unionByName(_as_links(component)))
+    more = closed(linked(best.select("pair.*", "low", "high")))
+    component = merged(component, more)
+    apart = _apart(_root(more, "root", "root", apart.select("key", "id", "root")))
+    more = closed(linked(_with_heads(apart).distinct()))
+    component = merged(component, more)
 
     # What is left: buckets that still hold several components.
-    apart = _apart(apart, component)
+    apart = _apart(_root(more, "root", "root", apart.select("key", "id", "root")))
     counts = apart.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     largest = stored(
         counts.groupBy(F.col("key").alias("of_key")).agg(F.max_by("root", F.struct("n", "root")).alias("largest")), "largest"
@@ -279,11 +276,16 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         # A pair in several buckets counts in one of them.
         & (F.array_min(F.array_intersect("f.keys", "r.keys")) == F.col("f.key")),
     )
-    more = stored(crossing.select(F.col("f.id").alias("a"), F.col("r.id").alias("b")).distinct(), "crossing")
+    more = stored(
+        crossing.select(
+            F.col("f.id").alias("a"), F.col("r.id").alias("b"), F.col("f.root").alias("low"), F.col("r.root").alias("high")
+        ),
+        "crossing",
+    )
     if not more.isEmpty():
-        component = components(confirmed(docs, more, percent).unionByName(_as_links(component)))
+        component = merged(component, closed(confirmed(docs, more, percent)))
 
-    of_digest = stored(_root(component, F.col("id"), "component_id", one_of).select(F.col("digest").alias("of"), "component_id"), "roots")
+    of_digest = stored(_root(component, "id", "component_id", one_of).select(F.col("digest").alias("of"), "component_id"), "roots")
     return (
         every.select("doc_id", "n_shingles", "digest")
         .join(of_digest, F.col("digest") == F.col("of"), "left")
@@ -292,12 +294,14 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
 
 
-def _same_id(every: DataFrame, one_of: DataFrame) -> DataFrame:
-    """Links (a, b) between the groups of copies that hold different texts of one id."""
+def _same_id(every: DataFrame, one_of: DataFrame) -> DataFrame | None:
+    """Links (a, b) between the groups of copies that hold different texts of one id, if there are any."""
     texts = every.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.min("digest").alias("least"), F.max("digest").alias("most")
     )
-    several = texts.where(F.col("least") != F.col("most")).select("doc_id")
+    several = stored(texts.where(F.col("least") != F.col("most")).select("doc_id"), "several-texts")
+    if several.isEmpty():
+        return None
     own = every.join(several, "doc_id", "left_semi").select("doc_id", "digest").join(one_of, "digest")
     return own.select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
 

@@ -3,8 +3,9 @@ import random
 import numpy as np
 import pytest
 
+from seamstat.llm import components as closing
 from seamstat.llm import near_dup
-from seamstat.llm.components import components
+from seamstat.llm.components import components, merged
 from seamstat.llm.shingles import shingle_sets
 from tests.llm import brute
 
@@ -135,3 +136,25 @@ def test_signatures_do_not_depend_on_the_slices():
     whole = near_dup.packed(near_dup.minima(sets))
     assert whole.shape == (30, near_dup.MINIMA // 64)
     assert (whole == np.concatenate([near_dup.packed(near_dup.minima(sets[i : i + 7])) for i in range(0, 30, 7)])).all()
+
+
+def test_forest_of_links_takes_one_shuffle(spark, monkeypatch):
+    """Each shuffle costs as many tasks as there are shuffle partitions, however small the table."""
+    links = [(i, i // 2) for i in range(2, 200)] + [(1000 + i, 1001 + i) for i in range(100)]
+    found, real = [], closing.stored
+
+    def counted(df, name):
+        found.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return real(df, name)
+
+    monkeypatch.setattr(closing, "stored", counted)
+    roots = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert roots == {i: 1 for i in range(2, 200)} | {i: 1000 for i in range(1001, 1101)}
+    assert sum(found) <= 2
+
+
+def test_roots_of_components_that_are_joined_later(spark):
+    component = spark.createDataFrame([(2, 1), (3, 1), (6, 5)], "node bigint, root bigint")
+    more = spark.createDataFrame([(5, 1), (9, 8)], "node bigint, root bigint")
+    got = {r["node"]: r["root"] for r in merged(component, more).collect()}
+    assert got == {2: 1, 3: 1, 6: 1, 5: 1, 9: 8}
