@@ -8,7 +8,7 @@ from seamstat.operators.enrich import model_frame
 from seamstat.operators.survey import encode_survey
 from seamstat.plans.scoring import batch_score, rating_sensitivity
 from seamstat.functions.numbering import sorted_ranges
-from seamstat.plans.training import certificate, gradients, train
+from seamstat.plans.training import certificate, gradients, solver_tasks, train
 from seamstat.schema import CATEGORICAL_COLUMNS, NUMERIC_COLUMNS, TARGET_COLUMN
 from seamstat.sources.models import load_model, save_model
 from seamstat.sources.scratch import shared_folder, stored
@@ -198,6 +198,38 @@ def test_imputation_ties_and_constants(spark):
     assert {r["k"] for r in ln.scale_numeric(frame, ["k"]).collect()} == {5.0}
 
 
+def test_spread_of_gaps_and_constants(spark):
+    """Missing values do not count; a column without any has no spread."""
+    rows = [(1.0, None, 7, None), (4.0, 2.0, 7, None), (None, 5.0, 7, None), (9.5, -1.0, 7, None)]
+    frame = spark.createDataFrame(rows, "a double, b double, c int, d double")
+    got = ln.numeric_spread(frame, ["a", "b", "c", "d"])
+    assert got["a"] == pytest.approx((np.std([1.0, 4.0, 9.5]), 1.0, 9.5)) and got["b"] == pytest.approx((np.std([2.0, 5.0, -1.0]), -1.0, 5.0))
+    assert got["c"] == (0.0, 7.0, 7.0) and got["d"] == (None, None, None)
+    assert ln.numeric_spread(frame.limit(0), ["a"]) == {"a": (None, None, None)}
+
+
+def test_spread_of_many_columns_is_one_small_aggregate(spark):
+    """The number of aggregate functions in a plan does not grow with the columns."""
+    frame = spark.range(50).select(*[(F.col("id") * i).cast("double").alias(f"c{i}") for i in range(75)])
+    seen, aggregate = [], type(frame).groupBy
+
+    def spied(self, *keys):
+        seen.append(keys)
+        return aggregate(self, *keys)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(frame), "groupBy", spied)
+        patch.setattr(type(frame), "agg", lambda *a: pytest.fail("aggregates side by side"))
+        got = ln.numeric_spread(frame, frame.columns)
+    assert seen == [("place",)] and got["c3"] == pytest.approx((3 * np.std(range(50)), 0.0, 147.0))
+
+
+def test_tasks_of_the_solver_grow_slower_than_the_matrix():
+    """Each task sends a gradient of all columns, so a large matrix has larger partitions."""
+    assert [solver_tasks(size << 20, 6) for size in (0, 1, 8, 9, 384, 400, 1_536, 3_200)] == [1, 1, 1, 2, 48, 48, 48, 100]
+    assert solver_tasks(13 << 30, 6) == 416 and solver_tasks(13 << 30, 600) == 1_664
+
+
 def test_unknown_categories_have_no_cell(spark):
     known = ln.category_positions(spark.createDataFrame([("x",), ("w",), ("x",)], "c string"), ["c"])
     cells = ln.onehot(spark.createDataFrame([(1, "x"), (2, "new")], "review_id int, c string"), known, ["c"])
