@@ -162,6 +162,12 @@ def test_gradients_equal_those_of_numpy(labelled, model):
     assert all(abs(got[j] - want[j]) < 1e-12 for j in range(len(want)))
 
 
+def test_gradients_pass_over_the_matrix_once(model):
+    """Sums and totals are of one pass, whose result is stored: no plan that is left reads the matrix."""
+    plan = gradients(model)._jdf.queryExecution().optimizedPlan().toString()
+    assert "features" not in plan and "inline" not in plan and "gradient" in plan
+
+
 def test_solver_reads_a_stored_matrix(model):
     """Short lineage: the plan is one scan, and its schema names no cells."""
     plan = model.design._jdf.queryExecution().optimizedPlan().toString()
